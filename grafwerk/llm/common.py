@@ -113,3 +113,29 @@ def unit(*keys: int | str | None) -> float:
             k = int.from_bytes(k.encode("utf-8", "surrogatepass"), "little") % ((1 << 61) - 1) + len(k)
         h = mix_int(h ^ (0x1234567 if k is None else int(k)) * 0x9E3779B97F4A7C15 + 0x632BE5AB)
     return (h >> 11) / (1 << 53)
+
+
+def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of `key`, from batches in which equal values stand together."""
+    held: list[pa.RecordBatch] = []
+    last: object = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if held and values[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = values[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The concatenated ranges [start, start + length)."""
+    total = int(length.sum())
+    ends = np.cumsum(length)
+    return np.arange(total) + np.repeat(start - ends + length, length)
