@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grafwerk.llm import exact, fingerprint, jaccard, mixing, pieces, sharding, toxicity
+from grafwerk.llm import exact, fingerprint, jaccard, mixing, pieces, rangecoder, sharding, toxicity
 from grafwerk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangecoder.write(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copies(table(spark, sf_dir, "documents"))
 
@@ -41,4 +45,4 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_jaccard_join, op4_toxicity, op5_sharding, op6_sentencepiece, op8_exact_dedup, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_mixing, op3_jaccard_join, op4_toxicity, op5_sharding, op6_sentencepiece, op7_binary_ids, op8_exact_dedup, op10_fingerprints)}
