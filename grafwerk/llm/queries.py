@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grafwerk.llm import exact, fingerprint, jaccard, mixing, pieces, rangecoder, sharding, toxicity
+from grafwerk.llm import exact, fingerprint, jaccard, mixing, pieces, rangecoder, repeats, sharding, toxicity
 from grafwerk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,9 +40,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copies(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.passages(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbours(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_jaccard_join, op4_toxicity, op5_sharding, op6_sentencepiece, op7_binary_ids, op8_exact_dedup, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_mixing, op3_jaccard_join, op4_toxicity, op5_sharding, op6_sentencepiece, op7_binary_ids, op8_exact_dedup, op9_repeated_passages, op10_fingerprints)}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from grafwerk.llm.fingerprint import BASE, HEAD, PRIME
+from grafwerk.llm.jaccard import N, THRESHOLD
+from grafwerk.llm.repeats import LEAST
 
 EXACT = """
 SELECT doc_id, first AS copy_of
@@ -36,5 +38,40 @@ FROM marks m LEFT JOIN shared s ON m.fingerprint = s.fingerprint
 """
 
 
+PASSAGES = f"""
+WITH rows AS (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id),
+words AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\t\\n\\x0b\\f\\r ]+'), lambda w: w <> '') AS w FROM rows),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i + 1 : i + {LEAST}], ' ') AS text
+  FROM (SELECT doc_id, w, unnest(range(len(w) - {LEAST} + 1)) AS i FROM words WHERE len(w) >= {LEAST})),
+shared AS (SELECT text, min(doc_id) AS first FROM windows GROUP BY text HAVING count(DISTINCT doc_id) > 1),
+marked AS (
+  SELECT doc_id, i, first, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LEAST} THEN 1 ELSE 0 END AS new
+  FROM windows JOIN shared USING (text)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM marked)
+SELECT doc_id, CAST(min(i) AS BIGINT) AS begin, CAST(max(i) + {LEAST} AS BIGINT) AS end, min(first) AS first_id
+FROM numbered GROUP BY doc_id, nth
+"""
+
+JACCARD = f"""
+WITH rows AS (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id),
+texts AS (
+  SELECT min(doc_id) AS of_id, list(doc_id ORDER BY doc_id) AS ids,
+         regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+') AS w
+  FROM rows GROUP BY text),
+grams AS (
+  SELECT of_id, unnest(list_distinct(list_transform(range(greatest(1, len(w) - {N} + 1)), lambda i: array_to_string(w[i + 1 : i + {N}], ' ')))) AS g
+  FROM texts WHERE len(w) > 0),
+sizes AS (SELECT of_id, count(*) AS n FROM grams GROUP BY of_id),
+shared AS (SELECT a.of_id AS a, b.of_id AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.of_id < b.of_id GROUP BY 1, 2),
+near AS (
+  SELECT a, b, k / CAST(x.n + y.n - k AS DOUBLE) AS jaccard
+  FROM shared JOIN sizes x ON a = x.of_id JOIN sizes y ON b = y.of_id WHERE k >= {THRESHOLD} * (x.n + y.n - k) - 1e-9)
+SELECT x.ids AS doc_ids, y.ids AS other_ids, jaccard FROM near JOIN texts x ON a = x.of_id JOIN texts y ON b = y.of_id
+UNION ALL
+SELECT ids, ids, 1.0 FROM texts WHERE len(ids) > 1 AND len(w) > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": EXACT, "op10_fingerprints": FINGERPRINTS}
+    return {"op3_jaccard_join": JACCARD, "op9_repeated_passages": PASSAGES, "op8_exact_dedup": EXACT, "op10_fingerprints": FINGERPRINTS}
