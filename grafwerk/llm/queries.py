@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grafwerk.llm import exact, fingerprint, jaccard, mixing, pieces, rangecoder, repeats, sharding, toxicity
+from grafwerk.llm import exact, fingerprint, jaccard, mixing, pieces, rangecoder, repeats, secrets, sharding, toxicity
 from grafwerk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.pairs(table(spark, sf_dir, "documents"))
 
@@ -49,4 +53,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_jaccard_join, op4_toxicity, op5_sharding, op6_sentencepiece, op7_binary_ids, op8_exact_dedup, op9_repeated_passages, op10_fingerprints)}
+    every = (
+        op1_mixing,
+        op2_secret_scan,
+        op3_jaccard_join,
+        op4_toxicity,
+        op5_sharding,
+        op6_sentencepiece,
+        op7_binary_ids,
+        op8_exact_dedup,
+        op9_repeated_passages,
+        op10_fingerprints,
+    )
+    return {f.__name__: f for f in every}
