@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from grafwerk.plans import bindings
+
 FLAGSHIP = "called_pous"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(bindings.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(bindings.SQL)
