@@ -37,7 +37,7 @@ N, THRESHOLD = 3, 0.5
 #: Documents that one task joins at once, pivots that split a larger region, and the depth from which blocks are used.
 LEAF, PIVOTS, DEPTH = 2_000, 16, 3
 #: Grams that a task holds before it hands them on.
-HELD = 6_000_000
+HELD = 2_000_000
 _BLOCK = "bucket int, base long, keys binary, docs binary"
 
 
@@ -64,12 +64,12 @@ def _blocks(n: int, buckets: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: list[np.ndarray] = []
-        docs: list[np.ndarray] = []
         sizes: list[tuple[int, int]] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            g, d = np.concatenate(grams), np.concatenate(docs)
+            g = np.concatenate(grams)
+            d = np.repeat(np.array([x for x, _ in sizes], np.int64), [x for _, x in sizes])
             bucket = ((g >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
             yield from told(g.astype(np.uint32), d, bucket, 1)
             del g, bucket
@@ -81,12 +81,11 @@ def _blocks(n: int, buckets: int):
             for doc, s in zip(part.column("doc_id").to_pylist(), sets(data, at, n)):
                 if len(s):
                     grams.append(s)
-                    docs.append(np.full(len(s), doc, np.int64))
                     sizes.append((doc, len(s)))
                     held += len(s)
                     if held >= HELD:
                         yield from flush()
-                        grams, docs, sizes, held = [], [], [], 0
+                        grams, sizes, held = [], [], 0
         if held:
             yield from flush()
 
@@ -107,27 +106,32 @@ def _recurring(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, "bucket"):
             bucket = group.column("bucket")[0].as_py()
-            base, keys, docs = (group.column(c).to_pylist() for c in ("base", "keys", "docs"))
+            key = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint32)
+            doc = _unpacked(group.column("base").to_pylist(), group.column("docs").to_pylist(), [len(k.as_buffer()) // 4 for k in group.column("keys")])
             del group
-            doc = _unpacked(base, docs, [len(k) // 4 for k in keys])
-            key = np.concatenate([np.frombuffer(k, np.uint32) for k in keys])
-            del docs, keys
             if bucket < 0:
                 yield _postings(-1 - bucket, doc, np.full(len(doc), -1, np.int64), key)
                 continue
             low = int(doc.min())
             if int(doc.max()) - low < 1 << 32:
-                both = np.sort(key.astype(np.uint64) << np.uint64(32) | (doc - low).astype(np.uint64))
-                key, doc = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64) + low
-                del both
+                both = key.astype(np.uint64)
+                both <<= np.uint64(32)
+                doc -= low
+                both |= doc.view(np.uint64)
+                both.sort()
+                key = (both >> np.uint64(32)).astype(np.uint32)
+                both &= np.uint64(0xFFFFFFFF)
+                doc = both.view(np.int64)
+                doc += low
             else:
                 order = np.lexsort((doc, key))
                 key, doc = key[order], doc[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            start = np.flatnonzero(new)
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             df = np.diff(np.append(start, len(key)))
-            many = np.repeat(df > 1, df)
-            df = np.repeat(df, df)[many]
+            many = df > 1
+            start, df = start[many], df[many]
+            many = ranges(start, df)
+            df = np.repeat(df, df)
             doc = doc[many]
             gram = (np.int64(bucket) << np.int64(32)) | key[many].astype(np.int64)
             home = _home(doc, buckets)
