@@ -265,9 +265,8 @@ def passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame
     parts = partitions(docs.sparkSession)
     owners = firsts.mapInArrow(_owners(least, gram), "hash long, doc long").repartition(parts, "hash")
     shared = owners.mapInArrow(_shared, "hash long, doc long").groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
-    shared = cut(shared)
-    n, hashes_n = shared.agg(F.count("*"), F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()
-    wanted = firsts.join(small(shared.withColumnRenamed("doc", "doc_id"), hashes_n), "doc_id")
+    # The lists grow with the text: they meet it by a shuffle, at every size.
+    wanted = firsts.join(shared.withColumnRenamed("doc", "doc_id").hint("merge"), "doc_id")
     pieces = wanted.select("doc_id", "text", "hashes").mapInArrow(_cut_out(least, gram), "hash long, doc long, start long, words binary")
     found = pieces.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_found(least), "doc long, low long, high long, first long")
     found = cut(found.select("doc", F.col("low").alias("begin"), (F.col("high") + least).alias("end"), "first"))
