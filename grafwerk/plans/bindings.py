@@ -385,13 +385,13 @@ def rising_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT event_id, duration_ms, CAST(sum(duration_ms) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sum_ms
-    FROM (SELECT *, coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS duration_ms FROM events)"""
+    FROM (SELECT *, coalesce(epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS duration_ms FROM events)"""
 )
 def event_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.durations(_events(spark, sf_dir), "user_id").select("event_id", "duration_ms", "sum_ms")
 
 
-@query("SELECT user_id, epoch_ms(b) - epoch_ms(a) AS delta_ms FROM (SELECT user_id, max(ts) FILTER (event_type = 'signup') AS a, max(ts) FILTER (event_type = 'purchase') AS b FROM events GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL")
+@query("SELECT user_id, (epoch_us(b) // 1000) - (epoch_us(a) // 1000) AS delta_ms FROM (SELECT user_id, max(ts) FILTER (event_type = 'signup') AS a, max(ts) FILTER (event_type = 'purchase') AS b FROM events GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL")
 def mark_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.mark_delta(_events(spark, sf_dir), "user_id", "event_type", "signup", "purchase")
 
