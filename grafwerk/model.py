@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-AG = "http://www.semanticweb.org/AgentProgramParams/"
+#: The vocabulary's own namespace; graphs that use another one are brought to it by `rebase`.
+AG = "http://example.org/plant/"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
@@ -56,6 +57,16 @@ def as_set(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(["s", "p", "o", "o_kind", "o_dtype", "o_lang"])
 
 
+def rebase(graph: DataFrame, base: str) -> DataFrame:
+    """The graph with IRIs below `base` moved to the vocabulary's own namespace."""
+
+    def moved(c: str) -> Column:
+        return F.when(F.startswith(c, F.lit(base)), F.concat(F.lit(AG), F.substring(F.col(c), F.lit(len(base) + 1), F.length(c)))).otherwise(F.col(c)).alias(c)
+
+    o = F.when(F.col("o_kind") == "iri", moved("o")).otherwise(F.col("o")).alias("o")
+    return graph.select(moved("s"), moved("p"), o, "o_kind", "o_dtype", "o_lang")
+
+
 def local_name(term: Column) -> Column:
     """What follows the last `/` or `#` of an IRI."""
     return F.regexp_extract(term, r"([^/#]*)$", 1)

@@ -240,12 +240,13 @@ def _source_triples(rows: DataFrame) -> DataFrame:
 
 def pou_calls(graph: DataFrame) -> DataFrame:
     """Calls of block instances in code: a node for each, its callee, and its parameters' assignments to ports."""
-    found = _calls(graph)
+    # Cut off where several additions come from the same rows.
+    found = cut(_calls(graph))
     call = F.concat(F.lit(f"{AG}Call_"), F.regexp_extract("pou", "([^/]*)$", 1), F.lit("_"), F.col("instance"), F.lit("_"), F.col("call_index").cast("string"))
     params = found.select("pou", "instance", "call_index", "type", F.explode("params").alias("port_name", "expr"))
     ports = pairs(graph, "op:hasPort", "type", "port").join(pairs(graph, "dp:hasPortName", "port", "pname"), "port")
     wired = params.join(ports, (params["type"] == ports["type"]) & (F.lower("port_name") == F.lower("pname"))).drop(ports["type"])
-    solved = resolve_sources(wired, graph)
+    solved = cut(resolve_sources(wired, graph))
     a = F.concat(call, F.lit("_"), F.col("port_name"))
     return as_set(
         union(
@@ -271,7 +272,7 @@ def st_assignments(graph: DataFrame) -> DataFrame:
     """`lhs := instance.port;` in programs: the variable is written from the port instance."""
     programs = instances(graph, "ag:class_Program", "pou")
     found = stcode.assignments_table(code_of(graph).join(programs, "pou", "left_semi"), "pou", "code").where(F.col("rhs").rlike(r"^[A-Za-z_]\w*\.[A-Za-z_]\w*$"))
-    rows = resolve_sources(found.select("pou", F.col("variable"), F.col("rhs").alias("expr")), graph)
+    rows = cut(resolve_sources(found.select("pou", F.col("variable"), F.col("rhs").alias("expr")), graph))
     target = resolve_sources(rows.select("pou", F.col("variable").alias("expr"), F.col("source").alias("from_source")), graph)
     return as_set(union(shaped(target, F.col("source"), "op:isWrittenFrom", F.col("from_source"), "iri"), _source_triples(rows)))
 
@@ -284,7 +285,7 @@ def condition_ports(graph: DataFrame) -> DataFrame:
     each = code.select("pou", F.explode(cond).alias("c")).select("pou", F.explode(dotted).alias("expr")).distinct()
     inst = _instances_of(graph).select(F.col("pou").alias("p"), F.lower("inst").alias("i"))
     own = each.join(inst, (each["pou"] == F.col("p")) & (F.lower(F.split("expr", "[.]")[0]) == F.col("i")), "left_semi")
-    return as_set(_source_triples(resolve_sources(own, graph)))
+    return as_set(_source_triples(cut(resolve_sources(own, graph))))
 
 
 def output_layer(graph: DataFrame) -> DataFrame:

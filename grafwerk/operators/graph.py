@@ -124,8 +124,9 @@ def search_terms(graph: DataFrame, text: str, limit: int = 30) -> DataFrame:
 
 def remove_nodes(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """The graph without triples from or to `nodes` (s)."""
-    gone = nodes.select(F.col("s").alias("gone")).distinct()
-    return graph.join(gone, graph["s"] == gone["gone"], "left_anti").join(gone, graph["o"] == gone["gone"], "left_anti")
+    gone = cut(nodes.select(F.col("s").alias("gone")).distinct())
+    kept = graph.join(gone, F.col("s") == F.col("gone"), "left_anti")
+    return kept.join(gone, F.col("o") == F.col("gone"), "left_anti")
 
 
 def upsert(graph: DataFrame, new: DataFrame) -> DataFrame:
