@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,17 +16,30 @@ BROADCAST_ROWS = 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute `df` into the shared checkpoint folder and end its lineage there."""
+    """Write `df` as a table in the shared checkpoint folder and read it from there: its lineage ends.
+
+    Unlike a checkpoint, a table doesn't inherit size estimates, which multiply with every join of a loop.
+    The table goes when the driver ends.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = f"{_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).deleteOnExit(where)
+    return spark.read.parquet(path)
+
+
+def _folder(df: DataFrame) -> str:
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
