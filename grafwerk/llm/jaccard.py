@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafwerk.llm import exact
-from grafwerk.llm.common import cut, fresh, partitions, ranges, runs, slices, small, strings
+from grafwerk.llm.common import cut, fresh, partitions, ranges, runs, slices, small, strings, written
 from grafwerk.llm.grams import sets
 
 N, THRESHOLD = 3, 0.5
@@ -395,7 +395,7 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, leaf: int =
 
 def components(edges: DataFrame) -> DataFrame:
     """(doc, root): the smallest document that each document of `edges` (a, b) is connected to, by alternating star contractions."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         # Large star: each larger neighbour of a node is tied to the node's smallest neighbour.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -405,7 +405,7 @@ def components(edges: DataFrame) -> DataFrame:
         least_of = big.groupBy("u").agg(F.min("v").alias("m"))
         tied = big.join(least_of, "u")
         new = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least_of.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = cut(new)
+        new = written(new)
         changed = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
         edges = new
         if changed:
