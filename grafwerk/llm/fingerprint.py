@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafwerk.llm.common import cut, slices, small, strings
+from grafwerk.llm.common import cut, partitions, slices, small, strings
 
 PRIME = (1 << 61) - 1
 BASE = 1_152_921_504_606_838_747
@@ -168,3 +168,96 @@ def neighbours(docs: DataFrame) -> DataFrame:
     common = both.select("fingerprint", "near_id", "text", "near_text").mapInArrow(_extensions, "fingerprint long, near_id long, common long")
     found = marks.drop("head").join(small(common, n), "fingerprint", "left")
     return found.select("doc_id", "n_chars", "fingerprint", F.coalesce("near_id", F.lit(-1)).alias("near_id"), F.coalesce("common", F.lit(0)).alias("common"))
+
+
+def _headed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        _, whole, head, long = _marks(part.column("text"))
+        rows = [part.column("doc_id").cast(pa.int64()), pa.array(whole.astype(np.int64)), pa.array(head.astype(np.int64)), part.column("text").cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(rows, ["doc_id", "fingerprint", "head", "text"]).filter(pa.array(long))
+
+
+def nearest(ids: list[int | None], shared: list[int]) -> list[tuple[int, int]]:
+    """For each of some sorted texts the smallest id among those that share most with it, and how much: (-1, 0) if none.
+
+    `shared[k]` is what texts k and k + 1 have in common. Texts that share v or more are neighbours in the order, so
+    that the intervals between smaller values form a tree; each is closed once and settles the texts left open in it.
+    A text without an id asks but isn't an answer.
+    """
+    out = [(-1, 0)] * len(ids)
+    stack: list[tuple[int, list[tuple[int, int]], list[int]]] = []
+
+    def joined(a: tuple, b: tuple) -> tuple[list[tuple[int, int]], list[int]]:
+        few, many = sorted((a[1], b[1]), key=len)
+        many.extend(few)
+        return sorted(a[0] + b[0])[:2], many
+
+    for k, i in enumerate(ids):
+        value = shared[k] if k < len(shared) else -1
+        last = ([] if i is None else [(i, k)], [k])
+        while stack and stack[-1][0] > value:
+            v, *top = stack.pop()
+            best, asking = joined(tuple(top), last)
+            left = []
+            for t in asking if best else ():
+                other = next((near for near, at in best if at != t), None)
+                if other is None:
+                    left.append(t)
+                else:
+                    out[t] = (other, v)
+            last = (best, left if best else asking)
+        if stack and stack[-1][0] == value:
+            v, *top = stack.pop()
+            last = joined(tuple(top), last)
+        stack.append((value, *last))
+    return out
+
+
+def _longest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results of each head's contents, from rows sorted by head and text; only one text is held besides the batch."""
+    head, last = None, None
+    prints: list[int] = []
+    ids: list[int | None] = []
+    shared: list[int] = []
+
+    def settled() -> pa.RecordBatch:
+        rows = [(p, near, n) for p, (near, n) in zip(prints, nearest(ids, shared)) if n]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["fingerprint", "near_id", "common"])
+
+    for batch in batches:
+        for part in slices([batch], "text"):
+            for i, p, h, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "fingerprint", "head", "text"))):
+                if h != head:
+                    if len(prints) > 1:
+                        yield settled()
+                    head, last, prints, ids, shared = h, None, [], [], []
+                if prints and prints[-1] == p:
+                    ids[-1] = min((x for x in (ids[-1], i) if x is not None), default=None)
+                    continue
+                own = Prefixes(text)
+                if last is not None:
+                    shared.append(last.extension(0, own, 0))
+                last = own
+                prints.append(p)
+                ids.append(i)
+    if len(prints) > 1:
+        yield settled()
+
+
+def longest(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, fingerprint, near_id, common) for each row: its longest beginning in common with another content.
+
+    `common` is the most characters that any other content with the same head shares from the start, and `near_id`
+    the smallest doc_id of the contents that share so many; -1 and 0 where there is none.
+    """
+    marks = cut(fingerprints(docs))
+    contents = marks.where("head IS NOT NULL").groupBy("head", "fingerprint").agg(F.min("doc_id").alias("of"))
+    wanted = contents.withColumn("n", F.count("*").over(Window.partitionBy("head"))).where("n > 1").select("of").distinct()
+    wanted = cut(wanted)
+    # Of each content the rows of its smallest doc_id; repeated ones meet in the sort.
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(small(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    rows = rows.mapInArrow(_headed, "doc_id long, fingerprint long, head long, text string")
+    rows = rows.repartition(partitions(docs.sparkSession), "head").sortWithinPartitions("head", "text")
+    common = cut(rows.mapInArrow(_longest, "fingerprint long, near_id long, common long"))
+    found = marks.drop("head").join(small(common, common.count()), "fingerprint", "left")
+    return found.select("doc_id", "n_chars", "fingerprint", F.coalesce("near_id", F.lit(-1)).alias("near_id"), F.coalesce("common", F.lit(0)).alias("common"))

@@ -38,6 +38,31 @@ FROM marks m LEFT JOIN shared s ON m.fingerprint = s.fingerprint
 """
 
 
+LONGEST = f"""
+WITH marks AS (
+  SELECT doc_id, text, length(text) AS n_chars,
+         CAST(CASE WHEN text = '' THEN 0 ELSE list_reduce(
+           list_prepend(0::HUGEINT, list_reverse(list_transform(string_split(text, ''), lambda c: unicode(c)::HUGEINT))),
+           lambda h, c: (h * {BASE}::HUGEINT + c) % {PRIME}::HUGEINT) END AS BIGINT) AS fingerprint
+  FROM documents),
+contents AS (
+  SELECT substring(text, 1, {HEAD}) AS head, fingerprint, min(doc_id) AS of_id, any_value(text) AS text
+  FROM marks WHERE n_chars >= {HEAD} GROUP BY 1, 2),
+pairs AS (
+  SELECT a.fingerprint, a.text, b.of_id AS near_id, b.text AS near_text
+  FROM contents a JOIN contents b ON a.head = b.head AND a.fingerprint <> b.fingerprint),
+shared AS (
+  SELECT fingerprint, near_id,
+         coalesce(list_position(list_transform(list_zip(string_split(text, ''), string_split(near_text, '')),
+                                               lambda x: coalesce(x[1] = x[2], false)), false) - 1,
+                  least(length(text), length(near_text))) AS common
+  FROM pairs WHERE near_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY common DESC, near_id) = 1)
+SELECT m.doc_id, m.n_chars, m.fingerprint, coalesce(s.near_id, -1) AS near_id, CAST(coalesce(s.common, 0) AS BIGINT) AS common
+FROM marks m LEFT JOIN shared s ON m.fingerprint = s.fingerprint
+"""
+
+
 PASSAGES = f"""
 WITH rows AS (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id),
 words AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\t\\n\\x0b\\f\\r ]+'), lambda w: w <> '') AS w FROM rows),
@@ -74,4 +99,4 @@ SELECT ids, ids, 1.0 FROM texts WHERE len(ids) > 1 AND len(w) > 0
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": JACCARD, "op9_repeated_passages": PASSAGES, "op8_exact_dedup": EXACT, "op10_fingerprints": FINGERPRINTS}
+    return {"op3_jaccard_join": JACCARD, "op9_repeated_passages": PASSAGES, "op8_exact_dedup": EXACT, "op10_fingerprints": FINGERPRINTS, "op10_longest_beginnings": LONGEST}

@@ -42,3 +42,34 @@ def test_neighbours(spark):
     assert (by[2]["near_id"], by[2]["common"]) == (1, len(head) + 6) and by[3]["near_id"] == 1 and by[1]["near_id"] == -1
     assert by[10]["fingerprint"] == whole("y" * 100_000) and by[None]["near_id"] == -1
     assert fp.neighbours(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_longest_equals_all_pairs(spark):
+    r = random.Random(3)
+    head = "x" * fp.HEAD
+    texts = [head + "".join(r.choice("aé") for _ in range(r.randint(0, 9))) for _ in range(150)]
+    rows = [(None if r.random() < 0.2 else r.randrange(120), t) for t in texts] + [(500, "short"), (501, None), (502, "y" * 40)]
+    got = fp.longest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = {}
+    for i, t in rows:
+        if t is not None and len(t) >= fp.HEAD:
+            of[t] = min((x for x in (of.get(t), i) if x is not None), default=None)
+
+    def common(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    want = []
+    for i, t in rows:
+        near = [(-common(t, u), j) for u, j in of.items() if j is not None and t in of and u != t and u[: fp.HEAD] == t[: fp.HEAD]]
+        n, j = min(near, default=(0, -1))
+        want.append((i, None if t is None else whole(t), j, -n))
+    key = lambda x: tuple((v is not None, v or 0) for v in x)
+    assert sorted(((g["doc_id"], g["fingerprint"], g["near_id"], g["common"]) for g in got), key=key) == sorted(want, key=key)
+    assert fp.longest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_first_content_of_a_head_has_a_neighbour(spark):
+    head = "the same beginning of thirty-two "
+    rows = [(1, head + "abcdef"), (2, head + "zz"), (3, head + "abcdxx"), (4, head + "zzz")]
+    by = {x["doc_id"]: (x["near_id"], x["common"] - len(head)) for x in fp.longest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by == {1: (3, 4), 2: (4, 2), 3: (1, 4), 4: (2, 2)}
