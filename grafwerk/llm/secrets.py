@@ -4,9 +4,11 @@ Words between white space are tagged as the begin of a secret, inside one, or ou
 shape, its beginning, the words around it and their shapes, and the file's language, size and share of digits.
 The tags of a document are those of the best whole sequence, found by Viterbi's algorithm.
 
-Words that can't be part of a secret (short ones, and ordinary words of letters) are outside by constraint. A
-fixed tag parts a chain exactly, so that only runs of the other words are decoded; runs of many documents
-advance together.
+Words that nothing hints at are outside by constraint: they are shorter than 16 bytes, have no digit or less than
+`SHORT` bytes, hold no sign of assignment with something after it, and stand neither beside one, nor beside a word
+that names secrets, nor in a block. A block is the rest of the line after an assignment to such a name, or what
+a key's BEGIN and END enclose; in it words of any length and letters are open. A fixed tag parts a chain exactly,
+so that only runs of the other words are decoded; runs of many documents advance together.
 
 The field is fitted here, by its likelihood, to sentences made up by a seeded generator: secrets of common
 forms, and harmless numbers, addresses, hashes and paths that resemble them.
@@ -18,6 +20,7 @@ is tagged as a whole. Rows that repeat have equal results.
 from __future__ import annotations
 
 import random
+import re
 import string
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
@@ -33,8 +36,10 @@ OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 BITS = 16
 #: Sentences that the fit uses, and its steps over them.
 SENTENCES, EPOCHS = 12_000, 6
-#: Words shorter than this can't be tagged.
+#: Words shorter than this need more of a hint than a digit.
 SHORT = 8
+#: Parts of words that name secrets, in lower case.
+NAMING = (b"pass", b"pwd", b"token", b"secret", b"key", b"auth", b"cred", b"phrase", b"mnemonic", b"pin", b"kennwort", b"geheim", b"contrase", b"clave")
 _LANGS = ("en", "de", "fr", "es")
 _SIGNS = b"=:_/+-.@\"'$*<>#%&"
 _BLOCKED = -1e9
@@ -65,11 +70,8 @@ class Words:
         self.text = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
         length = self.end - self.start
         digits = self._count(data, _CLASSES[0])
-        upper = self._count(data, _CLASSES[1])
-        equals = self._count(data, _CLASSES[5])
-        long = length >= 16
-        self.open = np.flatnonzero((length >= SHORT) & ((digits > 0) | (upper >= 4) & long | (equals > 0) & long))
         self.data, self.n = data, n
+        self.open = np.flatnonzero((length >= SHORT) & (digits > 0) | (length >= 16) | self._hinted())
         digit_share = np.add.reduceat(np.append(digits, 0), np.minimum(self.first[:-1], n)) * (np.diff(self.first) > 0)
         size = np.diff(at)
         lang = np.array([_LANGS.index(x) if x in _LANGS else len(_LANGS) for x in langs])
@@ -82,6 +84,85 @@ class Words:
         s, e = (self.start, self.end) if which is None else (self.start[which], self.end[which])
         return total[e] - total[s]
 
+    def _hinted(self) -> np.ndarray:
+        """Words of any kind that stand where a secret may: at an assignment, by a name of secrets, or in a block.
+
+        Sets `where`: 1 in a block of a key, 2 on a line behind an assignment to a name of secrets, 0 elsewhere.
+        """
+        data, n = self.data, self.n
+        self.where = np.zeros(n, np.int8)
+        self.lines = np.flatnonzero(data == 10)
+        if not n:
+            self.given = self.asked = np.zeros(0, np.int64)
+            return np.zeros(0, bool)
+        sign = (data == 61) | (data == 58)
+        signs = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(sign, out=signs[1:])
+        inner = signs[self.end - 1] > signs[self.start]
+        inner |= (self.end - self.start > 1) & sign[self.start] & ~sign[self.end - 1]
+        ending = sign[self.end - 1]
+        same = self.text[1:] == self.text[:-1]
+        small = np.where(self.data - np.uint8(65) < 26, data | np.uint8(32), data)
+        name = np.zeros(n, np.int8)
+        for code, part in enumerate(NAMING, 1):
+            at = np.flatnonzero((small[: len(small) - 1] == part[0]) & (small[1:] == part[1]))
+            at = at[at + len(part) <= len(data)]
+            for j in range(2, len(part)):
+                at = at[small[at + j] == part[j]]
+            word = np.searchsorted(self.start, at, "right") - 1
+            name[word[(word >= 0) & (at + len(part) <= self.end[word])]] = code
+        naming = name > 0
+        hinted = inner.copy()
+        hinted[1:] |= same & (ending[:-1] | naming[:-1])
+        hinted[:-1] |= same & naming[1:]
+        hinted[2:] |= naming[:-2] & (self.text[2:] == self.text[:-2])
+        # The line goes on behind `name=`, `name = ` and `name : `.
+        given = naming & (inner | ending)
+        given[:-1] |= naming[:-1] & same & sign[self.start[1:]]
+        w = np.flatnonzero(given)
+        # What is given, and whether in quotes: of the name's own word, or of the word behind the sign.
+        value = np.minimum(n - 1, np.where(inner[w], w, np.where(ending[w], w + 1, w + 2)))
+        quote = (data == 34) | (data == 39)
+        quotes = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(quote, out=quotes[1:])
+        quoted = np.where(inner[w], quotes[self.end[w]] > quotes[self.start[w]], quote[self.start[value]])
+        self.given, self.asked = w, name[w].astype(np.int64) * 2 + quoted
+        stop = np.append(self.lines, len(data))[np.searchsorted(self.lines, self.end[w])]
+        stop = np.minimum(np.searchsorted(self.start, stop), self.first[self.text[w] + 1])
+        self._mark(w + 1, stop, 2)
+        raw = data.tobytes()
+        if b"-----BEGIN" in raw:
+            begin = np.searchsorted(self.start, [m.start() for m in re.finditer(rb"-----BEGIN", raw)], "right") - 1
+            ends = np.searchsorted(self.start, [m.start() for m in re.finditer(rb"-----END", raw)], "right") - 1
+            stop = np.append(ends, n)[np.searchsorted(ends, begin)]
+            self._mark(begin + 1, np.minimum(stop, self.first[self.text[begin] + 1]), 1)
+        return hinted | (self.where > 0)
+
+    def _mark(self, start: np.ndarray, stop: np.ndarray, kind: int) -> None:
+        on = np.zeros(self.n + 1, np.int32)
+        np.add.at(on, start, stop > start)
+        np.subtract.at(on, stop, stop > start)
+        self.where[np.cumsum(on)[:-1] > 0] = kind
+
+    def _place(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each open word: where it stands, whether quotes are open on its line before it, and whether it begins the line.
+
+        And again with the name that its line asks for, and whether what was given is in quotes.
+        """
+        at = self.start[self.open]
+        k = np.searchsorted(self.lines, at)
+        head = np.maximum(self.at[self.text[self.open]], np.append(0, self.lines + 1)[k])
+        out = self.where[self.open].astype(np.int64)
+        for quote in (34, 39):
+            seen = np.zeros(len(self.data) + 1, np.int32)
+            np.cumsum(self.data == quote, out=seen[1:])
+            out = out * 2 + ((seen[at] - seen[head]) & 1)
+        before = np.where(self.open > 0, self.end[np.maximum(self.open, 1) - 1], 0)
+        out = out * 2 + (before <= head)
+        k = np.searchsorted(self.given, self.open) - 1  # the word itself is no block of its own
+        on = (self.where[self.open] == 2) & (k >= 0)
+        return out, np.where(on, self.asked[np.maximum(k, 0)] if len(self.given) else 0, 0) * 32 + out
+
     def codes(self) -> np.ndarray:
         """A row of hashed feature numbers for each open word."""
         w = self.open
@@ -141,6 +222,7 @@ class Words:
         def looks(k: int) -> np.ndarray:
             return np.where(inside[k], shape[index[k]] * 64 + np.minimum(63, marks[index[k]] % 61), -1)
 
+        place, asked = self._place()
         parts = [
             shape[here],
             grade[here] * 8 + form[here],
@@ -159,6 +241,9 @@ class Words:
             looks(1),
             looks(2),
             *(f[own_text] * 8 + form[here] for f in self.file),
+            place * 8 + form[here],
+            (place * 8 + form[here]) * 16 + grade[here],
+            asked * 8 + form[here],
         ]
         out = [(mix(np.asarray(p).astype(np.int64).astype(np.uint64) + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - BITS)).astype(np.int64) for i, p in enumerate(parts)]
         return np.stack(out, axis=1)
@@ -225,9 +310,22 @@ def _value(r: random.Random) -> str:
     return _some(r, _HEX, n) if kind < 2 else _some(r, _ALNUM, n) if kind == 2 else _some(r, _ALNUM + "!%^*_-", r.randint(9, 20)) + r.choice(string.digits)
 
 
+def _short(r: random.Random) -> str:
+    """A value of few characters, or of letters only."""
+    kind = r.randrange(4)
+    if kind == 0:
+        return _some(r, string.ascii_lowercase, r.randint(3, 7)) + _some(r, string.digits, r.randint(1, 2))
+    if kind == 1:
+        value = list(_some(r, string.ascii_lowercase, r.randint(5, 8)))
+        for i in r.sample(range(len(value)), 2):
+            value[i] = r.choice(string.digits)
+        return "".join(value)
+    return _some(r, string.ascii_lowercase if kind == 2 else r.choice((string.ascii_lowercase, string.ascii_letters)), r.randint(12, 40))
+
+
 def _secret(r: random.Random) -> tuple[list[str], list[int]]:
     """Words of a secret in its setting, and their tags."""
-    kind = r.randrange(12)
+    kind = r.randrange(16)
     if kind < 3:
         form = r.choice(
             (
@@ -257,13 +355,34 @@ def _secret(r: random.Random) -> tuple[list[str], list[int]]:
         return [name + ":", quote + value + quote], [OUTSIDE, BEGIN]
     if kind == 10:
         return [r.choice(("postgres", "mysql", "mongodb", "amqp")) + "://" + _word(r).strip(".,;:!?") + ":" + value + "@" + _some(r, string.ascii_lowercase, 6) + ".example:5432/db"], [BEGIN]
+    if 11 < kind < 15:
+        value = _short(r)
+        if kind == 12:
+            return [name + r.choice("=:") + quote + value + quote], [BEGIN]
+        if kind == 13 and r.random() < 0.5:
+            return [name, r.choice(("=", ":", ":=", "=")), quote + value + quote], [OUTSIDE, OUTSIDE, BEGIN]
+        if kind == 13 or not any(c.isdigit() for c in value):
+            return [name + r.choice(("=", ":", ":")), quote + value + quote], [OUTSIDE, BEGIN]
+        return [name, r.choice(("is", "was", "ist", "est", "es")), quote + value + quote], [OUTSIDE, OUTSIDE, BEGIN]
+    if kind == 15:
+        words = [_some(r, string.ascii_lowercase, r.randint(2, 9)) for _ in range(r.randint(3, 12))]
+        quote = r.choice(('"', "'", ""))
+        name = r.choice(("passphrase", "phrase", "mnemonic", "recovery_phrase", "wallet_passphrase", "Passphrase") + (("password", "secret", "pass") if quote else ()))
+        words[0], words[-1] = quote + words[0], words[-1] + quote
+        tags = [BEGIN, *[INSIDE] * (len(words) - 1)]
+        form = r.randrange(3)
+        if form == 0:
+            return [name + r.choice("=:") + words[0], *words[1:]], tags
+        return ([name + r.choice("=:")] if form == 1 else [name, r.choice("=:")]) + words, [OUTSIDE] * form + tags
     lines = [_some(r, _ALNUM + "+/", 64) for _ in range(r.randint(2, 6))]
+    if r.random() < 0.7:
+        lines.append(_some(r, r.choice((_ALNUM, string.ascii_letters)), r.randint(1, 40)) + r.choice(("", "=", "==")))
     return ["-----BEGIN", r.choice(("RSA", "EC")), "PRIVATE", "KEY-----", *lines, "-----END", "RSA", "PRIVATE", "KEY-----"], [0, 0, 0, 0, BEGIN, *[INSIDE] * (len(lines) - 1), 0, 0, 0, 0]
 
 
 def _harmless(r: random.Random) -> list[str]:
     digits = string.digits
-    kind = r.randrange(16)
+    kind = r.randrange(21)
     if kind == 0:
         return ["+1", f"({_some(r, digits, 3)})", f"{_some(r, digits, 3)}-{_some(r, digits, 4)}"]
     if kind == 1:
@@ -294,12 +413,28 @@ def _harmless(r: random.Random) -> list[str]:
         return ["<a", f"href=\"x{r.randint(1, 9999)}.html\">", f"{r.randint(1000, 999999999):,}.00"]
     if kind == 14:
         return [r.choice(("the", "a", "your", "my", "new")), r.choice(("password", "token", "secret", "key")), r.choice(("is", "was", "of", "must", "for")), r.choice(("required.", "wrong", "changed,", "needed"))]
+    if kind == 15:
+        return [r.choice(_NAMES) + ":", *(_word(r) for _ in range(r.randint(2, 8)))]
+    if kind == 16:
+        return [_word(r).strip(".,;:!?") + r.choice((":", "=", " :", " =")).strip(), *(_word(r) for _ in range(r.randint(1, 5)))]
+    if kind == 17:
+        return [r.choice(_NAMES), *(_word(r) for _ in range(r.randint(1, 4)))]
+    if kind > 18:  # long ordinary words, in prose or in the cells of a table
+        cell = r.choice(((), (), ("|",), ("-",)))
+        words = ["".join(_word(r).strip(".,;:!?") for _ in range(r.randint(3, 7))) + r.choice(("", "", ".", ",", "!!")) for _ in range(r.randint(1, 3))]
+        words = [w.upper() for w in words] if r.random() < 0.25 else words
+        return [x for w in words for x in (*cell, w, *cell)]
     return ["TODO" + _some(r, string.ascii_uppercase, r.randint(12, 20)), _some(r, string.ascii_uppercase + "_", r.randint(16, 24))]
 
 
 def sentences(n: int, seed: int) -> tuple[list[str], list[list[int]], list[str]]:
     """Made-up texts, a tag for each of their words, and languages."""
     r = random.Random(seed)
+
+    def own_line(w: list[str], t: list[int]) -> bool:
+        """A phrase without quotes ends with its line."""
+        return t[-1] == INSIDE and not re.search("[\"'][.,]?$", w[-1])
+
     texts, tags, langs = [], [], []
     for _ in range(n):
         words: list[str] = []
@@ -315,6 +450,8 @@ def sentences(n: int, seed: int) -> tuple[list[str], list[list[int]], list[str]]
                 t = [OUTSIDE] * len(w)
             if r.random() < 0.1:
                 w[-1] += r.choice(".,")
+            if own_line(w, t) or r.random() < 0.15:
+                w[-1] += "\n"
             words += w
             own += t
         plain = [_word(r) for _ in range(r.randint(0, 6))]
