@@ -2,7 +2,7 @@
 
 A block holds `LENGTH` ids and is coded by itself: its models start empty and its ids have a checksum. For each
 id the order-2 and the order-1 model predict the id that last followed the same two ids, or one; the order-0
-model gives every id a share by how often it came. The shares of the three are mixed by how often each was
+model gives every id a share by how often it came up to the last of `_STEPS`. The shares of the three are mixed by how often each was
 right in this block when it was as sure as it is now, and the id's part of the mixture drives a 64-bit range coder.
 
 The encoder knows all ids beforehand: predictions, counts and shares of all blocks come from a few sorts and
@@ -33,7 +33,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Ids of a block, and bytes of text that are coded side by side.
 LENGTH, CHUNK = 4096, 4 << 20
-_STEPS = (0, 256, 1024, LENGTH)
+#: Places in a block at which the order-0 counts take in all ids before.
+_STEPS = (0, 64, 128, *range(256, LENGTH + 1, 256))
 _TOTAL = 1 << 24
 _GAIN = 32  # what one occurrence adds to an id's share of 1
 
@@ -56,12 +57,15 @@ def _order0(ids: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     own = np.ones(m * n, np.uint64)
     total = np.full(m * n, wide, np.uint64)
     low[place] = word
-    for a, b in zip(_STEPS[1:-1], _STEPS[2:]):
+    step = (np.searchsorted(_STEPS, np.arange(n), "right") - 1).astype(np.uint8)[t]
+    turn = np.argsort(step, kind="stable")
+    ends = np.cumsum(np.bincount(step, minlength=len(_STEPS)))
+    seen = np.zeros(len(key) + 1, np.int32)
+    for k, a in enumerate(_STEPS[1:-1], 1):
         if a >= n:
             break
-        seen = np.zeros(len(key) + 1, np.int32)
-        np.cumsum(t < a, out=seen[1:])
-        now = np.flatnonzero((t >= a) & (t < b))
+        np.cumsum(step < k, out=seen[1:])
+        now = turn[ends[k - 1] : ends[k]]
         s, e, at = seen[start[now]], seen[end[now]], place[now]
         # Every block before has `a` ids that early.
         low[at] += (_GAIN * (s - block[now] * a)).astype(np.uint64)

@@ -44,3 +44,13 @@ def test_checksum(spark):
     blocks = rangecoder.write(spark.createDataFrame([(1, "some words")], "doc_id long, text string")).withColumn("checksum", F.col("checksum") + 1)
     with pytest.raises(Exception, match="checksum"):
         rangecoder.read(blocks).collect()
+
+
+def test_late_ids_are_coded_with_late_counts():
+    """A block whose second half has other ids than its first: they cost about their entropy, not the whole vocabulary's."""
+    rng = np.random.default_rng(9)
+    ids = np.concatenate([rng.integers(0, 20_000, 1024), 40_000 + rng.integers(0, 40, 3072)]).astype(np.int32)[None]
+    both = rangecoder.encode_blocks(ids.copy(), np.array([4096]), 50_256)[0]
+    early = rangecoder.encode_blocks(ids[:, :1024].copy(), np.array([1024]), 50_256)[0]
+    assert (len(both) - len(early)) * 8 / 3072 < 9
+    assert (rangecoder.decode_block(both, 4096, 50_256) == ids[0]).all()
