@@ -159,15 +159,15 @@ def terminal_summary(rows: DataFrame) -> DataFrame:
     return per.withColumn("assessment", text)
 
 
-def variable_paths(edges: DataFrame, starts: DataFrame, depth: int = 20) -> DataFrame:
+def variable_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, path): the simple paths over `edges` (src, dst) that end where no edge goes on.
 
-    A path carries what it has met, so that loops end it; the frontier is cut off after each step.
+    A path carries what it has met, so that loops end it and the search, without a bound; the frontier is cut off after each step.
     """
     edges = cut(edges.select("src", "dst").distinct())
     frontier = cut(starts.select(F.col("start"), F.array("start").alias("path"), F.col("start").alias("last")))
     ends: DataFrame | None = None
-    for _ in range(depth):
+    while True:
         joined = frontier.join(edges, F.col("last") == F.col("src"), "left")
         go = joined.where(F.col("dst").isNotNull() & ~F.expr("array_contains(path, dst)"))
         onward = cut(go.select("start", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last")))
@@ -176,7 +176,6 @@ def variable_paths(edges: DataFrame, starts: DataFrame, depth: int = 20) -> Data
         frontier = onward
         if frontier.isEmpty():
             return ends
-    return ends.unionByName(frontier.select("start", "path"))
 
 
 def investigate(graph: DataFrame, terms: list[str], iterations: int = 40, nodes: int = 240) -> DataFrame:

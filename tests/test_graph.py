@@ -85,6 +85,12 @@ def test_simple_paths(spark):
     assert {tuple(r["path"]) for r in got.collect()} == {("a", "b", "c"), ("a", "d")}
 
 
+def test_variable_paths_of_long_chains(spark):
+    e = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(24)] + [("n24", "n3")], "src string, dst string")
+    got = trace.variable_paths(e, spark.createDataFrame([("n0",)], "start string"))
+    assert [r["path"] for r in got.collect()] == [[f"n{k}" for k in range(25)]]
+
+
 def test_investigate_walks_in_rings(full):
     rows = trace.investigate(full, ["GVL.run"], iterations=2)
     assert {r["step"] for r in rows.collect()} == {0, 1}
