@@ -1,28 +1,31 @@
 """Token ids as binary blocks, by an adaptive context-mixing range coder.
 
-A block holds `LENGTH` ids and is coded by itself: its models start empty and its ids have a checksum. For each
-id the order-2 and the order-1 model predict the id that last followed the same two ids, or one; the order-0
-model gives every id a share by how often it came up to the last of `_STEPS`. The shares of the three are mixed by how often each was
-right in this block when it was as sure as it is now, and the id's part of the mixture drives a 64-bit range coder.
+A block holds `LENGTH` ids and is coded by itself: its models start empty and its ids have a checksum. Three
+models count the ids of the block so far: order 2 those that followed the same two ids, order 1 those that
+followed the same id, order 0 all. After every id all of them know it. An id's probability is the weighted sum of
+its shares in the three; the weights follow, by how much a context has seen, how often its model knew the id that
+came. The sum's part of the range drives a 64-bit range coder.
 
-The encoder knows all ids beforehand: predictions, counts and shares of all blocks come from a few sorts and
-running sums, and the coder itself steps through many blocks side by side.
+The encoder knows all ids beforehand: what a context had counted before each id comes from sorts and a radix
+descent over ranks, and many blocks step through weights, order-0 counts and coder side by side.
 
 Defined cases: a null text is noted with a total of -1 and an empty one with 0, both without ids; a text of any
-length runs on through as many blocks as it takes. Rows that repeat are coded each; decoding tells documents
-apart by doc_id, total and the ids' checksum, so that it gives equal rows once.
+length runs on through as many blocks as it takes. Rows that repeat, also in doc_id alone, are told apart by their
+place (chunk, nth) and each decoded. Other columns of the input, whatever their names, are not carried. An empty
+table gives no blocks.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,121 +33,213 @@ from grafwerk.llm.common import slices
 
 #: Default place of the ranks of a byte-level vocabulary, and its pattern of words.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Ids of a block, and bytes of text that are coded side by side.
 LENGTH, CHUNK = 4096, 4 << 20
-#: Places in a block at which the order-0 counts take in all ids before.
-_STEPS = (0, 64, 128, *range(256, LENGTH + 1, 256))
 _TOTAL = 1 << 24
-_GAIN = 32  # what one occurrence adds to an id's share of 1
-
-
-def _order0(ids: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cumulative share below each id, its own share, and the sum, as of the last of `_STEPS` before its place."""
+_GAIN = 32  # what one occurrence adds to an id's order-0 share of 1
+_KEPT2, _KEPT1 = 1 << 20, 1 << 19  # what the lower orders keep at least
+#: Blocks whose counts are worked out together, and group sizes up to which all pairs of a group are compared.
+TOGETHER, _WIDTHS = 64, (4, 8, 16, 32, 64)
+_CLASSES = 8  # contexts by how much they have seen: 0, 1, 2-3, 4-7, ... ids
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Bit lengths."""
+    return np.frexp(x.astype(np.float32))[1].astype(np.int32)
+
+
+def _earlier(values: np.ndarray, equal: bool) -> list[np.ndarray]:
+    """For each place of the rows of `values`: how many places before it have a smaller value, and maybe an equal one."""
+    wide = values.shape[1]
+    word = np.dtype(f"u{max(1, wide // 8)}")
+    before = np.packbits(np.tri(wide, k=-1, dtype=bool), axis=1).view(word)[:, 0]
+    out = [np.empty(values.shape, np.uint8) for _ in range(1 + equal)]
+    step = max(1, (1 << 20) // (wide * wide))
+    for k in range(0, len(values), step):
+        here, there = values[k : k + step, :, None], values[k : k + step, None, :]
+        for told, hit in zip(out, (np.less, np.equal)):
+            told[k : k + step] = np.bitwise_count(np.packbits(hit(there, here), axis=2).view(word)[:, :, 0] & before)
+    return out
+
+
+def _below(group: np.ndarray, rank: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For elements sorted by group and value: how many of smaller rank in the group stand before each.
+
+    Groups come by falling bit length of their size, so that a level's elements are a prefix. Ranks are split bit
+    by bit from the top: at each level those with a 1 pass the 0s of their segment that stand before them.
+    """
+    n = len(rank)
+    out = np.zeros(n, np.int32)
+    at = np.arange(n, dtype=np.int32)
+    first = np.empty(n, bool)
+    first[:1] = True
+    np.not_equal(group[1:], group[:-1], out=first[1:])
+    top = int(size[0] - 1).bit_length() if n else 0
+    live = np.searchsorted(-size, -(1 << np.arange(top + 1)), "left")  # elements in groups of more than 2**level
+    for level in range(top - 1, -1, -1):
+        k = int(live[level])
+        one = (rank[:k] >> level & 1).astype(bool)
+        zeros = np.zeros(k + 1, np.int32)
+        np.cumsum(~one, out=zeros[1:])
+        start = np.flatnonzero(first[:k])
+        span = np.diff(np.append(start, k))
+        head = np.repeat(start.astype(np.int32), span)
+        none = np.repeat(zeros[start + span] - zeros[start], span)
+        before = zeros[:k] - zeros[head]
+        here = at[:k]
+        out[here[one]] += before[one]
+        to = np.where(one, head + none + (np.arange(k, dtype=np.int32) - head - before), head + before)
+        moved, ranks = np.empty(k, np.int32), np.empty(k, np.int32)
+        moved[to], ranks[to] = here, rank[:k]
+        at[:k], rank[:k] = moved, ranks
+        cuts = head[start] + none[start]
+        first[cuts[cuts < k]] = True
+    return out
+
+
+def _history(ids: np.ndarray, context: np.ndarray, skip: int, equal: bool) -> list[np.ndarray]:
+    """What each id's context has counted before it: ids in all, smaller ids, and maybe the id itself."""
+    m, n = ids.shape
+    out = [np.zeros(m * n, np.int32) for _ in range(2 + equal)]
+    if n <= skip:
+        return out
+    key = np.arange(m, dtype=np.uint64)[:, None] << np.uint64(45) | context.reshape(m, n) << np.uint64(13) | np.arange(n, dtype=np.uint64)
+    key = np.sort(key[:, skip:].ravel())
+    place = (key >> np.uint64(45)).astype(np.int32) * np.int32(n) + (key & np.uint64(0x1FFF)).astype(np.int32)
+    key >>= np.uint64(13)
+    new = np.empty(len(key), bool)
+    new[0] = True
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    start = np.flatnonzero(new).astype(np.int32)
+    size = np.diff(np.append(start, np.int32(len(key))))
+    out[0][place] = np.arange(len(key), dtype=np.int32) - np.repeat(start, size)
+    value = np.append(ids.ravel()[place], np.uint16(0))
+    two = start[size == 2]
+    later = place[two + 1]
+    for told, hit in zip(out[1:], (np.less, np.equal)):
+        told[later] = hit(value[two], value[two + 1])
+    least = 2
+    for wide in _WIDTHS:
+        these = (size > least) & (size <= wide)
+        if these.any():
+            at = start[these][:, None] + np.arange(wide, dtype=np.int32)
+            there = np.arange(wide) < size[these][:, None]
+            where = place[at[there]]
+            for told, part in zip(out[1:], _earlier(value[np.minimum(at, len(key))], equal)):
+                told[where] = part[there]
+        least = wide
+    these = np.flatnonzero(size > least)
+    if len(these):
+        these = these[np.argsort(-_bits(size[these] - 1), kind="stable")]
+        start, size = start[these], size[these]
+        ends = np.cumsum(size)
+        group = np.repeat(np.arange(len(size)), size)
+        at = start[group] + np.arange(ends[-1]) - (ends - size)[group]
+        key = np.sort(group << 32 | value[at].astype(np.int64) << 13 | at - start[group])
+        group, rank = key >> 32, (key & 0x1FFF).astype(np.int32)
+        where = place[start[group] + rank]
+        less = _below(group, rank, np.int32(1) << _bits(size - 1)[group])
+        run = np.flatnonzero(np.append(True, key[1:] >> 13 != key[:-1] >> 13))
+        same = np.arange(len(key)) - np.repeat(run, np.diff(np.append(run, len(key))))
+        for told, part in zip(out[1:], (less - same, same)):
+            told[where] = part
+    return out
+
+
+def _order0(ids: np.ndarray) -> np.ndarray:
+    """How many ids before each in its block are smaller: up to its stretch of 64, and in that."""
     m, n = ids.shape
-    block = np.repeat(np.arange(m, dtype=np.uint64), n)
-    t = np.tile(np.arange(n, dtype=np.uint64), m)
-    key = np.sort(block << np.uint64(36) | ids.ravel().astype(np.uint64) << np.uint64(16) | t)
+    key = np.sort((np.arange(m, dtype=np.uint64)[:, None] << np.uint64(36) | ids.astype(np.uint64) << np.uint64(16) | np.arange(n, dtype=np.uint64)).ravel())
     t = (key & np.uint64(0xFFFF)).astype(np.int32)
-    word = (key >> np.uint64(16)) & np.uint64(0xFFFFF)
-    block = (key >> np.uint64(36)).astype(np.int64)
-    place = block * n + t
-    new = np.flatnonzero(np.concatenate([[True], key[1:] >> np.uint64(16) != key[:-1] >> np.uint64(16)]))
-    group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
-    start = new[group]
-    end = np.append(new[1:], len(key))[group]
-    low = np.zeros(m * n, np.uint64)
-    own = np.ones(m * n, np.uint64)
-    total = np.full(m * n, wide, np.uint64)
-    low[place] = word
-    step = (np.searchsorted(_STEPS, np.arange(n), "right") - 1).astype(np.uint8)[t]
+    block = (key >> np.uint64(36)).astype(np.int32)
+    place = block * np.int32(n) + t
+    key >>= np.uint64(16)
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])).astype(np.int32)
+    start = np.repeat(new, np.diff(np.append(new, np.int32(len(key)))))
+    below = np.zeros(m * n, np.int32)
+    step = (t >> 6).astype(np.uint8)
     turn = np.argsort(step, kind="stable")
-    ends = np.cumsum(np.bincount(step, minlength=len(_STEPS)))
+    ends = np.cumsum(np.bincount(step))
     seen = np.zeros(len(key) + 1, np.int32)
-    for k, a in enumerate(_STEPS[1:-1], 1):
-        if a >= n:
-            break
+    for k in range(1, len(ends)):
         np.cumsum(step < k, out=seen[1:])
         now = turn[ends[k - 1] : ends[k]]
-        s, e, at = seen[start[now]], seen[end[now]], place[now]
-        # Every block before has `a` ids that early.
-        low[at] += (_GAIN * (s - block[now] * a)).astype(np.uint64)
-        own[at] += (_GAIN * (e - s)).astype(np.uint64)
-        total[at] += np.uint64(_GAIN * a)
-    return low, own, total
+        below[place[now]] = seen[start[now]] - block[now] * (k << 6)  # every block before has so many ids that early
+    wide = -(-n // 64) * 64
+    padded = np.zeros((m, wide), np.uint16)
+    padded[:, :n] = ids
+    (less,) = _earlier(padded.reshape(-1, 64), False)
+    return below + less.reshape(m, wide)[:, :n].ravel()
+
+
+def _standing(kind: np.ndarray, asked: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often a context of the same kind was asked before in the block (a column), and how often it knew the id."""
+    n, m = kind.shape
+    kind = kind + (np.arange(m) * _CLASSES).astype(np.int32)
+    more = asked.astype(np.int32) << 16 | known
+    held, out = np.zeros(m * _CLASSES, np.int32), np.empty((n, m), np.int32)
+    for t in range(n):
+        np.take(held, kind[t], out=out[t])
+        held[kind[t]] = out[t] + more[t]
+    return out >> 16, out & 0xFFFF
 
 
-def _predicted(ids: np.ndarray, context: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-    """The id that last followed the same context in the block, and how sure that is: 0 none, 1 new, 2 wrong last time, 3 right."""
+def _seen(ids: np.ndarray) -> list[np.ndarray]:
+    """For each id of the blocks (rows) what orders 2, 1 and 0 have counted before it: all (not 0), smaller ids, the id itself."""
     m, n = ids.shape
-    flat = ids.ravel()
-    place = np.arange(m * n, dtype=np.uint64)
-    key = (place // np.uint64(n)) << np.uint64(44) | context << np.uint64(12) | place % np.uint64(n)
-    key = key.reshape(m, n)[:, skip:].ravel() if n > skip else np.zeros(0, np.uint64)
-    key.sort()
-    at = ((key >> np.uint64(44)) * np.uint64(n) + (key & np.uint64(0xFFF))).astype(np.int64)
-    same = np.zeros(len(key), bool)
-    same[1:] = key[1:] >> np.uint64(12) == key[:-1] >> np.uint64(12)
-    value = flat[at]
-    before = np.zeros(len(key), np.int32)
-    before[1:] = value[:-1]
-    hit = same & (before == value)
-    sure = np.zeros(len(key), np.int8)
-    sure[1:] = np.where(same[1:], np.where(same[:-1], np.where(hit[:-1], 3, 2), 1), 0)
-    guess, how = np.full(m * n, -1, np.int32), np.zeros(m * n, np.int8)
-    guess[at] = np.where(same, before, -1)
-    how[at] = sure
-    return guess.reshape(m, n), how.reshape(m, n)
-
-
-def shares(ids: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    """The part of the range, of `_TOTAL`, that each id of the blocks (rows) gets: its start and its width."""
+    more = np.zeros((m, n + 1), np.uint16)
+    more[:, :n] = ids
+    one = np.zeros(more.size, np.uint64)
+    one[1:] = more.ravel()[:-1]
+    two = np.zeros(more.size, np.uint64)
+    two[1:] = one[:-1]
+    all2, less2, own2 = (x.reshape(m, n + 1) for x in _history(more, two << np.uint64(16) | one, 2, True))
+    all1, less1 = (x.reshape(m, n + 1) for x in _history(more, one, 1, False))
+    # What the next id's context has counted is how often this context and id came before.
+    own1, own0 = all2[:, 1:].copy(), all1[:, 1:]
+    own1[:, 0] = 0
+    return [x[:, :n] for x in (all2, less2, own2, all1, less1, own1, _order0(ids).reshape(m, n), own0)]
+
+
+def _shares(ids: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of `_TOTAL` that each id (a row) of each block (a column) gets: its start and its width."""
     m, n = ids.shape
-    flat = ids.ravel().astype(np.uint64)
-    one = np.zeros(m * n, np.uint64)
-    one[1:] = flat[:-1]
-    two = np.zeros(m * n, np.uint64)
-    two[2:] = flat[:-2]
-    g2, c2 = _predicted(ids, two << np.uint64(16) | one, 2)
-    g1, c1 = _predicted(ids, one, 1)
-    has2 = g2 >= 0
-    hit2 = has2 & (g2 == ids)
-    seen, hits = _standing(c2, hit2, has2, has2)
-    w2 = np.where(has2, (hits.astype(np.uint64) + np.uint64(1)) * np.uint64(_TOTAL - (1 << 20)) // (seen.astype(np.uint64) + np.uint64(2)), np.uint64(0))
-    has1 = (g1 >= 0) & ~(has2 & (g1 == g2))
-    hit1 = has1 & ~hit2 & (g1 == ids)
-    # Where order 2 was right, order 1 isn't tried: that changes no count.
-    seen, hits = _standing(c1, hit1, has1 & ~hit2, has1)
-    w1 = np.where(has1, (hits.astype(np.uint64) + np.uint64(1)) * (np.uint64(_TOTAL - (1 << 19)) - w2) // (seen.astype(np.uint64) + np.uint64(2)), np.uint64(0))
-    low, own, total = _order0(ids, wide)
-    rest = (np.uint64(_TOTAL) - w2 - w1).ravel()
-    a = rest * low // total
-    b = rest * (low + own) // total
-    w1, w2, hit1, hit2 = w1.ravel(), w2.ravel(), hit1.ravel(), hit2.ravel()
-    start = np.where(hit2, np.uint64(0), np.where(hit1, w2, w2 + w1 + a))
-    width = np.where(hit2, w2, np.where(hit1, w1, b - a))
-    return start.reshape(m, n), width.reshape(m, n)
-
-
-def _standing(sure: np.ndarray, right: np.ndarray, counted: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often a prediction as sure as this one counted before in the block, and how often it was right, for all that are asked."""
-    seen, hits = np.zeros(sure.shape, np.int32), np.zeros(sure.shape, np.int32)
-    for c in (1, 2, 3):
-        mine = counted & (sure == c)
-        good = mine & right
-        want = asked & (sure == c)
-        s, h = np.cumsum(mine, axis=1, dtype=np.int32) - mine, np.cumsum(good, axis=1, dtype=np.int32) - good
-        seen[want], hits[want] = s[want], h[want]
-    return seen, hits
+    ids = ids.astype(np.uint16)
+    told = [np.empty((n, m), np.int16) for _ in range(8)]
+    for k in range(0, m, TOGETHER):
+        for x, y in zip(told, _seen(ids[k : k + TOGETHER])):
+            x[:, k : k + TOGETHER] = y.T
+    seen2, below2, own2, seen1, below1, own1, below0, own0 = told
+    new = own2 == 0
+    kind = np.minimum(_bits(np.concatenate([seen2, seen1], axis=1)), _CLASSES - 1)
+    asked, known = _standing(kind, np.concatenate([seen2 > 0, new & (seen1 > 0)], axis=1), np.concatenate([own2 > 0, new & (own1 > 0)], axis=1))
+    del kind, new
+    start, width = np.empty((n, m), np.uint64), np.empty((n, m), np.uint64)
+    step = max(1, (1 << 16) // max(1, m))
+    for t in range(0, n, step):
+        s = slice(t, t + step)
+        # All products stay below 2**53 and quotients keep away from the next integer, so that these floors are exact.
+        w2 = np.floor((known[s, :m] + 1.0) * (_TOTAL - _KEPT2) / (asked[s, :m] + 2)) * (seen2[s] > 0)
+        w1 = np.floor((known[s, m:] + 1.0) * (_TOTAL - _KEPT1 - w2) / (asked[s, m:] + 2)) * (seen1[s] > 0)
+        rest, total = _TOTAL - w2 - w1, (wide + _GAIN * np.arange(n)[s])[:, None]
+        below = ids[:, s].T + _GAIN * below0[s].astype(np.float64)
+        begin = np.floor(rest * below / total)
+        end = np.floor(rest * (below + 1 + _GAIN * own0[s].astype(np.float64)) / total)
+        for w, seen, less, own in ((w2, seen2, below2, own2), (w1, seen1, below1, own1)):
+            w, n_seen = w, np.maximum(seen[s], 1)
+            begin += np.floor(w * less[s] / n_seen)
+            end += np.floor(w * (less[s] + own[s]) / n_seen)
+        start[s], width[s] = begin, end - begin
+    return start, width
 
 
 def encode_blocks(ids: np.ndarray, lengths: np.ndarray, wide: int) -> list[bytes]:
     """Code the rows of `ids`, of which row k has lengths[k] ids, each to a string of bytes."""
     m, n = ids.shape
-    start, width = shares(ids, wide)
-    dead = np.arange(n) >= lengths[:, None]
+    start, width = _shares(ids, wide)
+    dead = np.arange(n)[:, None] >= lengths
     start[dead], width[dead] = 0, _TOTAL
-    start, width = np.ascontiguousarray(start.T), np.ascontiguousarray(width.T)
     room = n + 4
     out = np.zeros(m * room, np.uint32)
     base = np.arange(m) * room + 1  # a word before each, for a carry that never comes
@@ -181,62 +276,64 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray, wide: int) -> list[bytes
     return [out[a:b].tobytes() for a, b in zip(base.tolist(), end.tolist())]
 
 
+class _Model:
+    """The counts of one context in the decoder: its ids in order, each as often as it came."""
+
+    def __init__(self) -> None:
+        self.ids: list[int] = []
+
+    def part(self, weight: int, i: int) -> int:
+        """The part of `weight` that ids below `i` have."""
+        return weight * bisect_left(self.ids, i) // (len(self.ids) or 1)
+
+
 def decode_block(raw: bytes, n: int, wide: int) -> np.ndarray:
     """The ids of one block."""
     words = np.frombuffer(raw, np.uint32).tolist() + [0, 0, 0]
     code, at = (words[0] << 32) | words[1], 2
     low, size = 0, (1 << 64) - 1
-    last1: dict[int, tuple[int, int]] = {}
-    last2: dict[tuple[int, int], tuple[int, int]] = {}
-    seen = {(o, c): [0, 0] for o in (1, 2) for c in (1, 2, 3)}
-    early: list[int] = []
+    contexts: dict[tuple[int, ...], _Model] = {}
+    none, order0 = _Model(), _Model()
+    asked = {(o, c): [0, 0] for o in (1, 2) for c in range(_CLASSES)}
     ids: list[int] = []
     mask = (1 << 64) - 1
     for t in range(n):
-        if t in _STEPS[1:-1]:
-            for i in ids[len(early) :]:
-                insort(early, i)
-        total = wide + _GAIN * len(early)
-        k1 = ids[-1] if t >= 1 else None
-        k2 = (ids[-2], ids[-1]) if t >= 2 else None
-        g2, c2 = last2.get(k2, (-1, 0)) if k2 is not None else (-1, 0)
-        g1, c1 = last1.get(k1, (-1, 0)) if k1 is not None else (-1, 0)
-        has2, has1 = g2 >= 0, g1 >= 0 and g1 != g2
-        w2 = (seen[2, c2][1] + 1) * (_TOTAL - (1 << 20)) // (seen[2, c2][0] + 2) if has2 else 0
-        w1 = (seen[1, c1][1] + 1) * (_TOTAL - (1 << 19) - w2) // (seen[1, c1][0] + 2) if has1 else 0
+        one = contexts.setdefault((ids[-1],), _Model()) if t >= 1 else none
+        two = contexts.setdefault((ids[-2], ids[-1]), _Model()) if t >= 2 else none
+        of2 = asked[2, min(len(two.ids).bit_length(), _CLASSES - 1)]
+        of1 = asked[1, min(len(one.ids).bit_length(), _CLASSES - 1)]
+        w2 = (of2[1] + 1) * (_TOTAL - _KEPT2) // (of2[0] + 2) if two.ids else 0
+        w1 = (of1[1] + 1) * (_TOTAL - _KEPT1 - w2) // (of1[0] + 2) if one.ids else 0
+        rest, total = _TOTAL - w2 - w1, wide + _GAIN * t
+
+        def start(i: int) -> int:
+            return two.part(w2, i) + one.part(w1, i) + rest * (i + _GAIN * bisect_left(order0.ids, i)) // total
+
         part = size >> 24
         value = min(((code - low) & mask) // part, _TOTAL - 1)
-        if value < w2:
-            i, start, width = g2, 0, w2
-        elif value < w2 + w1:
-            i, start, width = g1, w2, w1
-        else:
-            rest, want = _TOTAL - w2 - w1, value - w2 - w1
-            below, above = 0, wide - 1
-            while below < above:
-                middle = (below + above + 1) // 2
-                if rest * (middle + _GAIN * bisect_left(early, middle)) // total <= want:
-                    below = middle
-                else:
-                    above = middle - 1
-            i = below
-            a = rest * (i + _GAIN * bisect_left(early, i)) // total
-            b = rest * (i + 1 + _GAIN * bisect_left(early, i + 1)) // total
-            start, width = w2 + w1 + a, b - a
-        hit2, hit1 = has2 and i == g2, has1 and i == g1
-        if has2:
-            seen[2, c2][0] += 1
-            seen[2, c2][1] += hit2
-        if has1 and not hit2:
-            seen[1, c1][0] += 1
-            seen[1, c1][1] += hit1
-        if k2 is not None:
-            last2[k2] = (i, 1 if g2 < 0 else 3 if i == g2 else 2)
-        if k1 is not None:
-            last1[k1] = (i, 1 if g1 < 0 else 3 if i == g1 else 2)
+        i, above = 0, wide - 1
+        while i < above:
+            middle = (i + above + 1) // 2
+            if start(middle) <= value:
+                i = middle
+            else:
+                above = middle - 1
+        begin, end = start(i), start(i + 1)
+        knew2, knew1 = (bisect_right(x.ids, i) > bisect_left(x.ids, i) for x in (two, one))
+        if two.ids:
+            of2[0] += 1
+            of2[1] += knew2
+        if one.ids and not knew2:
+            of1[0] += 1
+            of1[1] += knew1
+        if t >= 2:
+            insort(two.ids, i)
+        if t >= 1:
+            insort(one.ids, i)
+        insort(order0.ids, i)
         ids.append(i)
-        low = (low + part * start) & mask
-        size = part * width
+        low = (low + part * begin) & mask
+        size = part * (end - begin)
         if size < 1 << 32:
             low = (low << 32) & mask
             size <<= 32
@@ -259,45 +356,50 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-_SHAPE = "doc_ids array<bigint>, starts array<bigint>, counts array<int>, totals array<bigint>, marks array<bigint>, n_ids int, checksum bigint, payload binary"
+_SHAPE = "chunk bigint, first bigint, doc_ids array<bigint>, starts array<bigint>, counts array<int>, totals array<bigint>, n_ids int, checksum bigint, payload binary"
 
 
 def _written(path: str, length: int):
     names = [x.split()[0] for x in _SHAPE.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary()]
 
-    def pack(docs: list, flat: np.ndarray, at: np.ndarray, wide: int) -> pa.RecordBatch:
+    def pack(chunk: int, docs: list, flat: np.ndarray, at: np.ndarray, wide: int) -> pa.RecordBatch:
         n = max(1, -(-len(flat) // length))
         ids = np.zeros(n * length, np.int32)
         ids[: len(flat)] = flat
         ids = ids.reshape(n, length)
         lengths = np.minimum(length, np.maximum(0, len(flat) - np.arange(n) * length))
-        wide_row = int(lengths.max(initial=1)) or 1
-        payloads = encode_blocks(ids[:, :wide_row], lengths, wide)
+        payloads = encode_blocks(ids[:, : int(lengths.max(initial=1)) or 1], lengths, wide)
         cols: list[list] = [[] for _ in names]
         doc = 0
         for b in range(n):
             lo, hi = b * length, b * length + int(lengths[b])
-            rows: list[list] = [[], [], [], [], []]
+            first = doc
+            rows: list[list] = [[], [], [], []]
             while doc < len(docs):
                 begin, end = int(at[doc]), int(at[doc + 1])
                 a, e = max(begin, lo), min(end, hi)
                 if begin >= hi and not (begin == end == hi and (b == n - 1)):
                     break
-                doc_id, total, mark = docs[doc]
-                for c, v in zip(rows, (doc_id, a - begin, e - a, total, mark)):
+                doc_id, total = docs[doc]
+                for c, v in zip(rows, (doc_id, a - begin, e - a, total)):
                     c.append(v)
                 if end > hi:
                     break
                 doc += 1
             raw = ids[b, : int(lengths[b])].astype(np.uint32).tobytes()
-            for c, v in zip(cols, (*rows, int(lengths[b]), zlib.crc32(raw), payloads[b])):
+            for c, v in zip(cols, (chunk, first, *rows, int(lengths[b]), zlib.crc32(raw), payloads[b])):
                 c.append(v)
-        kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         wide = tok.n_vocab
+        if wide > 1 << 16:
+            raise ValueError("ids of more than 16 bits aren't supported")
+        # A task that runs again numbers its chunks alike.
+        task = TaskContext.get()
+        chunk = (task.partitionId() if task else 0) << 32
         for part in slices(batches, "text", CHUNK):
             texts = part.column("text").to_pylist()
             lists = [tok.encode_ordinary(t) if t else [] for t in texts]
@@ -305,24 +407,27 @@ def _written(path: str, length: int):
             at = np.concatenate([[0], np.cumsum(size)])
             flat = np.fromiter(chain.from_iterable(lists), np.int32, int(at[-1]))
             del lists
-            docs = [
-                (i, -1 if t is None else int(n), zlib.crc32(flat[a : a + n].astype(np.uint32).tobytes()))
-                for i, t, a, n in zip(part.column("doc_id").to_pylist(), texts, at.tolist(), size.tolist())
-            ]
+            docs = [(i, -1 if t is None else n) for i, t, n in zip(part.column("doc_id").to_pylist(), texts, size.tolist())]
             del texts
-            yield pack(docs, flat, at, wide)
+            yield pack(chunk, docs, flat, at, wide)
+            chunk += 1
 
     return run
 
 
 def write(docs: DataFrame, path: str = RANKS, length: int = LENGTH) -> DataFrame:
-    """Blocks of coded ids: which part of which document each holds, the number and checksum of its ids, and its bytes."""
+    """Blocks of coded ids: which parts of which documents each holds, the number and checksum of its ids, and its bytes.
+
+    `chunk` numbers what was coded together, and `first` is the place in it of the block's first document.
+    """
     if not 1 <= length <= LENGTH:
         raise ValueError(f"a block has 1 to {LENGTH} ids")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_written(path, length), _SHAPE)
 
 
 def _read(path: str):
+    names = ["chunk", "nth", "doc_id", "total", "start", "ids"]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = tokenizer(path).n_vocab
         for batch in batches:
@@ -331,17 +436,17 @@ def _read(path: str):
                 if zlib.crc32(ids.astype(np.uint32).tobytes()) != row["checksum"]:
                     raise ValueError("a block's checksum is wrong")
                 ends = np.concatenate([[0], np.cumsum(row["counts"])]).astype(int)
+                n = len(row["doc_ids"])
+                nth = range(row["first"], row["first"] + n)
+                longs = ([row["chunk"]] * n, nth, row["doc_ids"], row["totals"], row["starts"])
                 parts = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(row[c], pa.int64()) for c in ("doc_ids", "totals", "marks", "starts")), pa.array(parts, pa.list_(pa.int32()))],
-                    ["doc_id", "total", "mark", "start", "ids"],
-                )
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), pa.array(parts, pa.list_(pa.int32()))], names)
 
     return run
 
 
 def read(blocks: DataFrame, path: str = RANKS) -> DataFrame:
     """(doc_id, ids) from blocks, each checked against its checksum; a null text's ids are null."""
-    parts = blocks.mapInArrow(_read(path), "doc_id long, total long, mark long, start long, ids array<int>").dropDuplicates(["doc_id", "total", "mark", "start"])
-    whole = parts.groupBy("doc_id", "total", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("p"))
+    parts = blocks.mapInArrow(_read(path), "chunk long, nth long, doc_id long, total long, start long, ids array<int>")
+    whole = parts.groupBy("chunk", "nth", "doc_id", "total").agg(F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("p"))
     return whole.select("doc_id", F.when(F.col("total") >= 0, F.flatten("p.ids")).alias("ids"))

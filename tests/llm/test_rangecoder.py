@@ -28,13 +28,13 @@ def test_first_blocks_are_independent():
 
 
 def test_operator(spark):
-    rows = [(1, "the cat the cat the cat"), (2, None), (3, ""), (None, "null id"), (1, "other text"), (4, "mots répétés " * 900), (5, "x"), (5, "x")]
+    rows = [(1, "the cat the cat the cat"), (2, None), (3, ""), (None, "null id"), (1, "other text"), (4, "mots répétés " * 900), (5, "x"), (5, "x"), (5, "x"), (6, ""), (6, ""), (7, None), (7, None)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, payload int")
     blocks = rangecoder.write(df, length=64)
     assert max(r["n_ids"] for r in blocks.collect()) == 64
     tok = rangecoder.tokenizer(rangecoder.RANKS)
     got = sorted(((r["doc_id"], None if r["ids"] is None else tok.decode(r["ids"])) for r in rangecoder.read(blocks).collect()), key=str)
-    assert got == sorted(set(rows), key=str)
+    assert got == sorted(rows, key=str)
     assert rangecoder.read(rangecoder.write(df.limit(0))).count() == 0
 
 
@@ -54,3 +54,31 @@ def test_late_ids_are_coded_with_late_counts():
     early = rangecoder.encode_blocks(ids[:, :1024].copy(), np.array([1024]), 50_256)[0]
     assert (len(both) - len(early)) * 8 / 3072 < 9
     assert (rangecoder.decode_block(both, 4096, 50_256) == ids[0]).all()
+
+
+@pytest.mark.parametrize(("rows", "n", "wide"), [(3, 700, 4), (2, 400, 60), (70, 130, 9), (1, 4096, 30)])
+def test_counts_equal_a_plain_count(rows, n, wide):
+    """What the models have counted before each id, against counters that step through the block."""
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.integers(0, wide, (rows, n)), rng.integers(0, wide, (rows, n))).astype(np.uint16)
+    got = [x.tolist() for x in rangecoder._seen(ids)]
+    for r in range(rows) if n < 1000 else ():
+        for t in range(n):
+            before = ids[r, :t].tolist()
+            x = int(ids[r, t])
+            two = [before[k] for k in range(2, t) if t >= 2 and before[k - 2 : k] == before[-2:]]
+            one = [before[k] for k in range(1, t) if before[k - 1] == before[-1]]
+            want = [f(c) for c in (two, one) for f in (len, lambda c: sum(y < x for y in c), lambda c: c.count(x))]
+            assert [g[r][t] for g in got] == [*want, sum(y < x for y in before), before.count(x)], (r, t)
+    if n >= 1000:
+        for t in range(0, n, 97):
+            assert got[6][0][t] == sum(y < ids[0, t] for y in ids[0, :t]) and got[7][0][t] == sum(y == ids[0, t] for y in ids[0, :t])
+
+
+def test_a_text_of_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(rangecoder, "CHUNK", 1 << 10)
+    text = "many words, again and again; " * 2_000
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, text[::-1][:5_000])], "doc_id long, text string")
+    tok = rangecoder.tokenizer(rangecoder.RANKS)
+    got = {r["doc_id"]: tok.decode(r["ids"]) for r in rangecoder.read(rangecoder.write(df)).collect()}
+    assert got == {1: text, 2: "short", 3: text[::-1][:5_000]}
