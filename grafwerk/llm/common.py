@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sides of at most this many rows (of a few longs each) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Sides of at most this many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,10 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if its counted `rows` are few; otherwise the planner shuffles it."""
-    return F.broadcast(df) if rows <= limit else df
+def small(df: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if its counted `rows` take few bytes; otherwise the planner shuffles it."""
+    wide = sum(96 if any(x in t for x in ("string", "binary", "array", "struct", "map")) else 8 for _, t in df.dtypes)
+    return F.broadcast(df) if rows * (16 + wide) <= limit else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -1,28 +1,35 @@
 """Exact Jaccard join of documents' word n-gram sets, as a metric-space join.
 
 Jaccard distance is a metric, so pivots, Voronoi regions and triangle-inequality windows find every pair within
-a distance. At the distances of interest almost all documents are at distance 1 from almost all pivots, where
-windows would copy everything everywhere; so the first pivots are chosen by an index of rare grams:
+a distance r. Nearly all documents are at distance 1 from nearly all others, so the first pivots are chosen by an
+index of rare grams:
 
 1. Each gram's document frequency is counted, exactly, from sorted blocks of (gram, document). A document with
    too few recurring grams to reach the threshold with anything is closed: it has no partner.
 2. Of the others' grams, rarest first, a prefix is kept that any two partners must share one gram of. The
    smallest document that holds a prefix gram is the pivot of all that hold it: their regions cover all pairs.
-3. A region of more than `LEAF` documents is split by pivots drawn from it: each document goes home to the
-   nearest pivot, and into the other regions whose pivot is nearer than its own plus twice the distance sought.
-   Regions are split again until they are small. One whose windows keep nearly all is joined in blocks.
-4. Within a region overlaps are counted by an inverted list. A pair that several regions hold is told in the
-   one of its smallest common pivot, and there where the smaller document is at home.
-
-Documents of one text are joined as one and listed together.
+3. Every region is split by pivots of its own, whatever its size: documents within a radius R of a pivot are at
+   home in the Voronoi cell of the nearest one. A partner of one of them is within R + r of that pivot, by the
+   triangle inequality; this window replicates documents of later cells into the cell. Cells join recursively,
+   with a quarter of the radius, and what the last radius leaves together is compared outright.
+4. A region of more than `LEAF` documents doesn't fit into one task. It is first split across tasks by the same
+   rule, with a few drawn pivots; documents beyond R of all of them form a cell behind the others. Regions that
+   `DEPTH` such rounds leave too large are parted in blocks, each pair of which is a region.
+5. A pair is told in the cell where both are at home or one is in the window of the other's, and of several gram
+   regions that hold it in the one of its smallest common pivot.
+
+Documents of one text are joined as one, and their pairs are told for each.
 
 Defined cases: rows with a null doc_id or text, or a text without words, have no partners. A text of fewer words
-than n has one gram of them all. Rows that repeat a doc_id are one document, of its smallest text.
+than n has one gram of them all; texts of any length are compared whole. Rows that repeat doc_id and text are one
+document; rows that repeat a doc_id with another text are documents of their own, but no pair of one doc_id is
+told. Of equally near pivots the first counts. Columns other than doc_id and text may have any names. An empty
+table has no pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +41,12 @@ from grafwerk.llm.common import cut, fresh, partitions, ranges, runs, slices, sm
 from grafwerk.llm.grams import sets
 
 N, THRESHOLD = 3, 0.5
-#: Documents that one task joins at once, pivots that split a larger region, and the depth from which blocks are used.
+#: Documents that one task joins at once, pivots that split a larger region, and rounds of such splits.
 LEAF, PIVOTS, DEPTH = 2_000, 16, 3
+#: Radii of cells as parts of the distance sought: within a task one after the other, across tasks the first.
+RADII = (0.5, 0.125)
 #: Grams that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
 _BLOCK = "bucket int, base long, keys binary, docs binary"
 
 
@@ -207,31 +216,93 @@ def distance(a: np.ndarray, b: np.ndarray) -> float:
     return 1 - both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-def within(members: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, the j > i, their Jaccard similarities) for all pairs of sets that reach the threshold."""
-    sizes = np.array([len(m) for m in members], np.int64)
-    owner = np.repeat(np.arange(len(members)), sizes)
-    every = np.concatenate(members)
-    order = np.lexsort((owner, every))
-    every, owner = every[order], owner[order]
-    new = np.concatenate([[True], every[1:] != every[:-1]])
-    end = np.append(np.flatnonzero(new), len(every))[np.cumsum(new)]
-    mine = np.argsort(owner, kind="stable")
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    for i in range(len(members) - 1):
-        at = mine[first[i] : first[i + 1]]
-        later = owner[ranges(at + 1, end[at] - at - 1)]
-        shared = np.bincount(later, minlength=len(members))
-        j = np.flatnonzero(shared)
-        both = shared[j]
-        # Compared as counts: no rounding at the threshold.
-        good = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
-        if good.any():
-            j, both = j[good], both[good]
-            yield i, j, both / (sizes[i] + sizes[j] - both)
-
-
-_MEMBER = "region string, pivot long, doc long, grams binary, pivots array<bigint>, home boolean, block int, crossed boolean"
+class Region:
+    """Sets of one region, with the places of every gram, so that one pass gives a set's overlaps with all."""
+
+    def __init__(self, members: list[np.ndarray]) -> None:
+        self.members = members
+        self.sizes = np.array([len(m) for m in members], np.int64)
+        owner = np.repeat(np.arange(len(members)), self.sizes)
+        every = np.concatenate(members)
+        order = np.lexsort((owner, every))
+        every, self.owner = every[order], owner[order]
+        new = np.concatenate([[True], every[1:] != every[:-1]])
+        edge = np.append(np.flatnonzero(new), len(every))
+        nth = np.cumsum(new)
+        self.start, self.end = edge[nth - 1], edge[nth]
+        self.mine = np.argsort(self.owner, kind="stable")
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def overlaps(self, i: int, later: bool = False) -> np.ndarray:
+        """How many grams each member (or each later one) shares with member i."""
+        at = self.mine[self.first[i] : self.first[i + 1]]
+        start = at + 1 if later else self.start[at]
+        return np.bincount(self.owner[ranges(start, self.end[at] - start)], minlength=len(self.members))
+
+
+def _near(sizes: np.ndarray, size: int, shared: np.ndarray, threshold: float) -> np.ndarray:
+    # Compared as counts: no rounding at the threshold.
+    return shared >= threshold * (size + sizes - shared) - 1e-9
+
+
+def cells(region: Region, threshold: float, radius: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(pivot, its partners, their similarities, others at home, window) of each Voronoi cell of a region.
+
+    Members further than `radius` from all pivots before become pivots, in their order; everyone is at home with the
+    nearest. Partners are those of the pivot itself, at home or in the window, so that a cell of one is settled.
+    """
+    m = len(region.members)
+    nearest, home = np.full(m, np.inf), np.full(m, -1)
+    rows = []
+    for i in range(m):
+        if nearest[i] <= radius:
+            continue
+        shared = region.overlaps(i)
+        at = np.flatnonzero(shared)
+        shared = shared[at]
+        far = 1 - shared / (region.sizes[i] + region.sizes[at] - shared)
+        closer = (far < nearest[at]) & (far <= radius)
+        nearest[at[closer]], home[at[closer]] = far[closer], len(rows)
+        nearest[i], home[i] = 0.0, len(rows)
+        reach = far <= radius + (1 - threshold) + 1e-9
+        rows.append((i, at[reach], shared[reach], far[reach]))
+    for k, (i, at, shared, far) in enumerate(rows):
+        own = home[at] == k
+        widest = far[own].max(initial=0.0)
+        window = (home[at] > k) & (far <= widest + (1 - threshold) + 1e-9)
+        good = (own | window) & (at != i) & _near(region.sizes[at], region.sizes[i], shared, threshold)
+        similar = shared[good] / (region.sizes[i] + region.sizes[at[good]] - shared[good])
+        yield i, at[good], similar, at[own & (at != i)], at[window]
+
+
+def within(members: list[np.ndarray], threshold: float, radii: Sequence[float] = RADII) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, Jaccard similarity), in arrays, for all pairs i < j of sets that reach the threshold, each once."""
+    region = Region(members)
+    if not radii:
+        for i in range(len(members) - 1):
+            shared = region.overlaps(i, later=True)
+            j = np.flatnonzero(shared)
+            both = shared[j]
+            good = _near(region.sizes[j], region.sizes[i], both, threshold)
+            if good.any():
+                j, both = j[good], both[good]
+                yield np.full(len(j), i), j, both / (region.sizes[i] + region.sizes[j] - both)
+        return
+    for i, js, near, home, window in cells(region, threshold, radii[0] * (1 - threshold)):
+        if len(js):
+            yield np.minimum(i, js), np.maximum(i, js), near
+        if len(home) and len(home) + len(window) > 1:
+            # The rest of the cell: pairs at home, and of home and window.
+            inner = np.concatenate([home, window])
+            inner.sort()
+            inside = np.isin(inner, home)
+            for a, b, near in within([members[x] for x in inner], threshold, radii[1:]):
+                told = inside[a] | inside[b]
+                if told.any():
+                    yield inner[a[told]], inner[b[told]], near[told]
+
+
+_MEMBER = "region string, pivot long, doc long, grams binary, pivots array<bigint>, away int, block int, crossed boolean"
 
 
 def _joined(threshold: float, forest: bool):
@@ -239,12 +310,14 @@ def _joined(threshold: float, forest: bool):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, "region"):
+            if group.num_rows < 2:
+                continue
             group = group.sort_by("doc")
             doc = group.column("doc").to_numpy()
             members = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
             pivot = group.column("pivot")[0].as_py()
             pivots = group.column("pivots").to_pylist()
-            home = group.column("home").to_numpy()
+            away = group.column("away").to_numpy()
             block, crossed = group.column("block").to_numpy(), group.column("crossed")[0].as_py()
             heads = np.array([p[0] for p in pivots])
             root = list(range(len(doc)))
@@ -255,59 +328,66 @@ def _joined(threshold: float, forest: bool):
                     x = root[x]
                 return x
 
-            out: tuple[list, list, list] = ([], [], [])
-            for i, js, near in within(members, threshold):
-                if not home[i]:
-                    continue
-                for j, s in zip(js.tolist(), near.tolist()):
-                    if crossed and block[i] == block[j]:
-                        continue
-                    if not (heads[i] == pivot == heads[j]) and min(set(pivots[i]).intersection(pivots[j])) != pivot:
-                        continue
-                    if forest:
-                        a, b = find(i), find(j)
-                        if a == b:
-                            continue
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            held = 0
+            for i, j, near in within(members, threshold):
+                good = (away[i] & away[j]) == 0
+                if crossed:
+                    good &= block[i] != block[j]
+                sure = (heads[i] == pivot) & (heads[j] == pivot)
+                for k in np.flatnonzero(good & ~sure).tolist():
+                    good[k] = min(set(pivots[i[k]]).intersection(pivots[j[k]])) == pivot
+                if forest:
+                    for k in np.flatnonzero(good).tolist():
+                        a, b = find(int(i[k])), find(int(j[k]))
+                        good[k] = a != b
                         root[max(a, b)] = min(a, b)
-                    for o, v in zip(out, (doc[i], doc[j], s)):
-                        o.append(v)
-                if len(out[0]) >= 50_000:
+                if good.any():
+                    out.append((doc[i[good]], doc[j[good]], near[good]))
+                    held += len(out[-1][0])
+                if held >= 50_000:
                     yield _pairs(out)
-                    out = ([], [], [])
+                    out, held = [], 0
             yield _pairs(out)
 
     return run
 
 
-def _pairs(out: tuple[list, list, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "jaccard"])
+def _pairs(out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b, near = (np.concatenate([x[k] for x in out] or [np.zeros(0)]) for k in range(3))
+    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(near)], ["a", "b", "jaccard"])
+
 
+def _voronoi(distance_sought: float, depth: int):
+    """Send each member of a region home to its nearest pivot's cell and into the windows of cells before that.
 
-def _voronoi(radius: float):
-    """Send each member of a region home to its nearest pivot and into the windows of the others."""
+    Members beyond the radius of all pivots are at home in a last cell.
+    """
+    radius = RADII[0] * distance_sought
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             given = [[np.frombuffer(p, np.uint64) for p in ps] for ps in batch.column("by").to_pylist()]
-            region, home = batch.column("region").to_pylist(), batch.column("home").to_pylist()
-            rows, names, homes = [], [], []
+            region, away = batch.column("region").to_pylist(), batch.column("away").to_pylist()
+            rows, names, aways = [], [], []
             for i, raw in enumerate(batch.column("grams").to_pylist()):
                 own = np.frombuffer(raw, np.uint64)
                 far = np.array([distance(own, p) for p in given[i]])
                 nearest = int(far.argmin())
-                for k in np.flatnonzero(far <= far[nearest] + 2 * radius + 1e-9).tolist():
+                home = nearest if far[nearest] <= radius else len(far)
+                for k in [*np.flatnonzero(far[:home] <= radius + distance_sought + 1e-9).tolist(), home]:
                     rows.append(i)
                     names.append(f"{region[i]}/{k}")
-                    homes.append(home[i] and k == nearest)
+                    aways.append(away[i] | (k != home) << depth)
             took = batch.drop_columns(["by"]).take(pa.array(rows, pa.int64()))
             took = took.set_column(took.schema.get_field_index("region"), "region", pa.array(names, pa.string()))
-            yield took.set_column(took.schema.get_field_index("home"), "home", pa.array(homes, pa.bool_()))
+            yield took.set_column(took.schema.get_field_index("away"), "away", pa.array(aways, pa.int32()))
 
     return run
 
 
 def _split(members: DataFrame, threshold: float, leaf: int) -> DataFrame:
-    """Split regions of more than `leaf` members, again and again, until all are small or are cut in blocks."""
+    """Split regions of more than `leaf` members, again and again, until all fit into a task or are cut in blocks."""
     sizes = members.groupBy("region").count().where(F.col("count") > leaf)
     done: DataFrame | None = None
     for depth in range(DEPTH + 1):
@@ -324,12 +404,11 @@ def _split(members: DataFrame, threshold: float, leaf: int) -> DataFrame:
             own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
             placed = members.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
             low, high = F.least("block", "with"), F.greatest("block", "with")
-            placed = placed.withColumn("region", F.concat_ws("/", "region", low, high)).withColumn("crossed", F.col("block") != F.col("with"))
             # A block meets itself in a region of its own, told apart from those where it meets others.
-            members = placed.drop("n", "with").dropDuplicates(["region", "doc"])
+            members = placed.withColumn("region", F.concat_ws("/", "region", low, high)).withColumn("crossed", F.col("block") != F.col("with")).drop("n", "with")
             break
         drawn = members.select("region", "grams", F.xxhash64("doc", F.lit(depth)).alias("h"))
-        members = cut(members.drop("n").join(_drawn(drawn), "region").mapInArrow(_voronoi(1 - threshold), _MEMBER))
+        members = cut(members.drop("n").join(_drawn(drawn), "region").mapInArrow(_voronoi(1 - threshold, depth), _MEMBER))
         sizes = members.groupBy("region").count().where(F.col("count") > leaf)
     return members if done is None else done.unionByName(members)
 
@@ -339,11 +418,22 @@ def _drawn(rows: DataFrame) -> DataFrame:
     return rows.withColumn("nth", nth).where(F.col("nth") <= PIVOTS).groupBy("region").agg(F.collect_list("grams").alias("by"))
 
 
-def single(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): the rows that can have partners, one for each doc_id."""
+def single(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) of the rows that can have partners, one for each document; and where doc_ids repeat, what they are numbered by.
+
+    Numbers stand for doc_ids then, in their order, and the second table has (doc, doc_id, mark) of each.
+    """
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n, ids = rows.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("*")).first()
-    return rows if n == ids else rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    every = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    if every.where("n > 1").isEmpty():
+        return rows, None
+    marked = rows.withColumn("mark", F.md5("text"))
+    order = cut(marked.select("doc_id", "mark").distinct().sort("doc_id", "mark").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    ahead = order.groupBy("part").agg(F.count("*").alias("size"))
+    ahead = ahead.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    numbers = order.join(F.broadcast(ahead), "part")  # a row for each partition
+    numbers = cut(numbers.select((F.col("at").bitwiseAND((1 << 33) - 1) + F.col("ahead")).alias("doc"), "doc_id", "mark"))
+    return marked.dropDuplicates(["doc_id", "mark"]).join(numbers, ["doc_id", "mark"]).select(F.col("doc").alias("doc_id"), "text"), numbers
 
 
 def distinct_pairs(rows: DataFrame, n: int, threshold: float, forest: bool, leaf: int = LEAF) -> DataFrame:
@@ -361,7 +451,7 @@ def distinct_pairs(rows: DataFrame, n: int, threshold: float, forest: bool, leaf
     texts = rows.join(small(edges.select(F.col("doc").alias("doc_id")), wanted), "doc_id", "left_semi")
     held = texts.mapInArrow(_sets(n), "doc long, grams binary").join(small(edges, wanted), "doc")
     members = held.select(
-        F.explode("pivots").alias("pivot"), "doc", "grams", "pivots", F.lit(True).alias("home"), F.lit(0).alias("block"), F.lit(False).alias("crossed")
+        F.explode("pivots").alias("pivot"), "doc", "grams", "pivots", F.lit(0).alias("away"), F.lit(0).alias("block"), F.lit(False).alias("crossed")
     ).withColumn("region", F.col("pivot").cast("string"))
     order = [c.split()[0] for c in _MEMBER.split(", ")]
     members = _split(cut(members.select(*order)), threshold, leaf).select(*order)
@@ -370,27 +460,29 @@ def distinct_pairs(rows: DataFrame, n: int, threshold: float, forest: bool, leaf
 
 
 def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, leaf: int = LEAF) -> DataFrame:
-    """(doc_ids, other_ids, jaccard): each document of the one list with each other document of the other.
-
-    A list holds the documents of one text, ascending; a text that several have also has a row with itself.
-    """
-    rows = single(docs)
+    """(doc_id, other_id, jaccard) for each pair of documents that reach the threshold, the larger doc_id first."""
+    rows, numbers = single(docs)
     same = cut(exact.copies(rows))
     count = same.count()
     firsts = rows.join(small(same.select("doc_id"), count), "doc_id", "left_anti")
     found = cut(distinct_pairs(firsts, n, threshold, False, leaf))
-    groups = cut(same.groupBy("copy_of").agg(F.sort_array(F.collect_list("doc_id")).alias("copies")))
+    groups = cut(same.select("copy_of", F.col("doc_id").alias("copy")).unionByName(same.select("copy_of", F.col("copy_of").alias("copy")).distinct()))
     k = groups.count()
-    lists = small(groups, k)
     out = found
     for c in ("a", "b"):
-        side = lists.withColumnsRenamed({"copy_of": c, "copies": f"{c}_copies"})
-        out = out.join(side, c, "left").withColumn(f"{c}_ids", F.concat(F.array(c), F.coalesce(f"{c}_copies", F.array().cast("array<bigint>"))))
-    out = out.select(F.col("a_ids").alias("doc_ids"), F.col("b_ids").alias("other_ids"), "jaccard")
-    own = F.concat(F.array("copy_of"), "copies")
-    words = rows.join(small(groups.select(F.col("copy_of").alias("doc_id")), k), "doc_id", "left_semi").where(F.col("text").rlike(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]"))
-    copied = groups.join(small(words.select(F.col("doc_id").alias("copy_of")), k), "copy_of", "left_semi")
-    return out.unionByName(copied.select(own.alias("doc_ids"), own.alias("other_ids"), F.lit(1.0).alias("jaccard")))
+        side = small(groups.withColumnsRenamed({"copy_of": c, "copy": f"{c}_copy"}), k)
+        out = out.join(side, c, "left").withColumn(c, F.coalesce(f"{c}_copy", c)).drop(f"{c}_copy")
+    # Copies of a text with words are at distance 0 of each other.
+    word = F.col("text").rlike(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
+    told = rows.where(word).select(F.col("doc_id").alias("copy_of")).join(small(groups.select("copy_of").distinct(), k), "copy_of", "left_semi")
+    own = groups.join(small(told, k), "copy_of", "left_semi")
+    twice = own.alias("x").join(own.alias("y"), F.expr("x.copy_of = y.copy_of AND x.copy < y.copy"))
+    out = out.select("a", "b", "jaccard").unionByName(twice.select(F.col("x.copy").alias("a"), F.col("y.copy").alias("b"), F.lit(1.0).alias("jaccard")))
+    if numbers is not None:
+        for c in ("a", "b"):
+            out = out.join(numbers.select(F.col("doc").alias(c), F.col("doc_id").alias(f"{c}_id")), c).drop(c).withColumnRenamed(f"{c}_id", c)
+        out = out.where("a <> b")
+    return out.select(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("other_id"), "jaccard")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -413,13 +505,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, leaf: int = LEAF) -> DataFrame:
-    """The rows of `docs` but those that are connected to a document of a smaller doc_id, with all their columns."""
-    rows = single(docs)
+    """The rows of `docs` but those that are connected to a document of a smaller doc_id, with all their columns.
+
+    Documents of one doc_id go by the order of their texts' digests; only those connected to one before them go.
+    """
+    rows, numbers = single(docs)
     same = cut(exact.copies(rows))
     count = same.count()
     firsts = rows.join(small(same.select("doc_id"), count), "doc_id", "left_anti")
     tied = distinct_pairs(firsts, n, threshold, True, leaf).select("a", "b")
     tied = tied.unionByName(same.select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b")))
-    gone = cut(components(tied).select("doc"))
-    (name,) = fresh(docs, "gone")
-    return docs.join(small(gone.withColumnRenamed("doc", name), gone.count()), F.col("doc_id") == F.col(name), "left_anti")
+    gone = components(tied).select("doc")
+    name, mark = fresh(docs, "gone", "mark")
+    if numbers is None:
+        gone = cut(gone.withColumnRenamed("doc", name))
+        return docs.join(small(gone, gone.count()), F.col("doc_id") == F.col(name), "left_anti")
+    gone = cut(numbers.join(gone, "doc").select(F.col("doc_id").alias(name), F.col("mark").alias(mark)))
+    return docs.join(small(gone, gone.count()), (F.col("doc_id") == F.col(name)) & (F.md5("text") == F.col(mark)), "left_anti")

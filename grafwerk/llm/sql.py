@@ -79,22 +79,22 @@ FROM numbered GROUP BY doc_id, nth
 """
 
 JACCARD = f"""
-WITH rows AS (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id),
+WITH rows AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 texts AS (
-  SELECT min(doc_id) AS of_id, list(doc_id ORDER BY doc_id) AS ids,
-         regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+') AS w
+  SELECT text, row_number() OVER () AS k, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+') AS w
   FROM rows GROUP BY text),
 grams AS (
-  SELECT of_id, unnest(list_distinct(list_transform(range(greatest(1, len(w) - {N} + 1)), lambda i: array_to_string(w[i + 1 : i + {N}], ' ')))) AS g
+  SELECT k, unnest(list_distinct(list_transform(range(greatest(1, len(w) - {N} + 1)), lambda i: array_to_string(w[i + 1 : i + {N}], ' ')))) AS g
   FROM texts WHERE len(w) > 0),
-sizes AS (SELECT of_id, count(*) AS n FROM grams GROUP BY of_id),
-shared AS (SELECT a.of_id AS a, b.of_id AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.of_id < b.of_id GROUP BY 1, 2),
+sizes AS (SELECT k, count(*) AS n FROM grams GROUP BY k),
+shared AS (SELECT a.k AS a, b.k AS b, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.k <= b.k GROUP BY 1, 2),
 near AS (
-  SELECT a, b, k / CAST(x.n + y.n - k AS DOUBLE) AS jaccard
-  FROM shared JOIN sizes x ON a = x.of_id JOIN sizes y ON b = y.of_id WHERE k >= {THRESHOLD} * (x.n + y.n - k) - 1e-9)
-SELECT x.ids AS doc_ids, y.ids AS other_ids, jaccard FROM near JOIN texts x ON a = x.of_id JOIN texts y ON b = y.of_id
-UNION ALL
-SELECT ids, ids, 1.0 FROM texts WHERE len(ids) > 1 AND len(w) > 0
+  SELECT a, b, common / CAST(x.n + y.n - common AS DOUBLE) AS jaccard
+  FROM shared JOIN sizes x ON a = x.k JOIN sizes y ON b = y.k WHERE common >= {THRESHOLD} * (x.n + y.n - common) - 1e-9),
+docs AS (SELECT doc_id, k FROM rows JOIN texts USING (text))
+SELECT greatest(x.doc_id, y.doc_id) AS doc_id, least(x.doc_id, y.doc_id) AS other_id, jaccard
+FROM near JOIN docs x ON a = x.k JOIN docs y ON b = y.k
+WHERE CASE WHEN a = b THEN x.doc_id < y.doc_id ELSE x.doc_id <> y.doc_id END
 """
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from grafwerk.llm import jaccard
@@ -42,12 +43,9 @@ def test_join_equals_brute_force(spark, leaf, n, t):
     rows = made(leaf + n)
     rows += [(900, None), (901, ""), (902, "!?"), (903, ""), (904, "one two"), (905, "One, two"), (906, "one two"), (None, rows[0][1]), (907, "w " * 30_000)]
     df = spark.createDataFrame([(i, x, 1, 2) for i, x in rows], "doc_id long, text string, pivot int, grams int")
-    got = {}
-    for r in jaccard.pairs(df, n, t, leaf).collect():
-        for a in r["doc_ids"]:
-            for b in r["other_ids"]:
-                if a != b:
-                    got[min(a, b), max(a, b)] = r["jaccard"]
+    told = jaccard.pairs(df, n, t, leaf).collect()
+    got = {(r["other_id"], r["doc_id"]): r["jaccard"] for r in told}
+    assert len(got) == len(told)
     want = brute(rows, n, t)
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
@@ -81,3 +79,39 @@ def test_components_of_a_long_chain(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.pairs(df).count() == 0 and jaccard.dedup(df).count() == 0
+
+
+def test_rows_that_repeat_a_doc_id_are_judged_each(spark):
+    base = [f"w{i}" for i in range(40)]
+    near, other = " ".join([*base[:-1], "zz"]), " ".join(f"u{i}" for i in range(40))
+    rows = [(1, " ".join(base)), (5, near), (5, other), (5, other), (7, other + " more"), (7, None), (8, None), (8, "")]
+    df = spark.createDataFrame([(i, x, 3) for i, x in rows], "doc_id long, text string, mark int")
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.dedup(df).collect()), key=str)
+    # Of the group of (5, other) and 7 the first stays, with both its rows; the near copy of 1 goes.
+    assert got == sorted([(1, " ".join(base)), (5, other), (5, other), (7, None), (8, None), (8, "")], key=str)
+    assert sorted((r["other_id"], r["doc_id"]) for r in jaccard.pairs(df).collect()) == [(1, 5), (5, 7)]
+
+
+def test_cells_windows_and_homes_at_the_defaults():
+    """Every member is at home once, windows replicate, and cells hold every pair, with no other settings than the defaults."""
+    rng = np.random.default_rng(4)
+    bases = [rng.choice(5_000, 60, replace=False) for _ in range(3)]
+    members = []
+    for k in range(90):
+        own = bases[k % 3].copy()
+        change = rng.integers(0, 45)
+        own[:change] = rng.integers(5_000, 9_000, change)
+        members.append(np.unique(own).astype(np.uint64))
+    region = jaccard.Region(members)
+    homes, replicas = [], 0
+    for i, _, _, home, window in jaccard.cells(region, jaccard.THRESHOLD, jaccard.RADII[0] * (1 - jaccard.THRESHOLD)):
+        homes += [i, *home.tolist()]
+        replicas += len(window)
+    assert sorted(homes) == list(range(90)) and 20 < replicas
+    got = {}
+    for a, b, s in jaccard.within(members, jaccard.THRESHOLD):
+        for x, y, z in zip(a.tolist(), b.tolist(), s.tolist()):
+            assert x < y and (x, y) not in got
+            got[x, y] = z
+    want = {(x, y): 1 - jaccard.distance(members[x], members[y]) for x in range(90) for y in range(x + 1, 90)}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= jaccard.THRESHOLD})
