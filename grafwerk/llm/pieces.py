@@ -8,6 +8,11 @@ For a unigram model a way's value is its sum of piece scores. A model of merges
 the one in which every two neighbours are a pair that merging would leave apart, which decides for one piece at
 each position; so there the step from piece to piece is allowed or not, and the result equals the merges'.
 
+Words longer than `LONG` characters are cut into windows that advance together, each begun `AHEAD` characters
+early. A step depends on the steps of the longest piece's length before it, so that a window that agrees with the
+one before on as many positions goes on as the whole word would; one that doesn't is stepped through again from
+the state of the one before.
+
 Characters without a piece become byte pieces (or the unknown piece, in a model without those).
 """
 
@@ -27,10 +32,12 @@ from grafwerk.llm.common import ranges, slices, strings
 #: Default place of the model file.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words that a worker remembers, and words that advance together at most.
-REMEMBERED, TOGETHER = 400_000, 20_000
+#: Bytes of words, about, that a worker remembers, and words that advance together at most.
+REMEMBERED, TOGETHER = 40 << 20, 20_000
 #: Bytes of text that a task encodes at once.
-CHUNK = 6 << 20
+CHUNK = 2 << 20
+#: Characters of words that are cut into windows, of a window, and before it.
+LONG, WINDOW, AHEAD = 1024, 256, 64
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _NONE = -1
 
@@ -213,6 +220,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.at, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -257,8 +265,11 @@ class Encoder:
             a, b = np.where(undo_a, v.right[a], a), np.where(undo_a, b, v.left[b])
         return out
 
-    def _batch(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi over words of one length: the inner piece that ends at each position (-1: a character without a piece), and backpointers."""
+    def _batch(self, points: np.ndarray, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi over words of one length: the inner piece that ends at each position (-1: a character without a piece), and backpointers.
+
+        `given` has what ends at the first positions, where that is known.
+        """
         v = self.v
         m, n = points.shape
         prefix = np.zeros((n + 1, m), np.uint64)
@@ -273,7 +284,10 @@ class Encoder:
         best = np.full((n + 1, m), -np.inf)
         best[0] = 0.0
         lone = float(v.score.min(initial=0.0)) - 10.0
-        for i in range(1, n + 1):
+        known = 0 if given is None else len(given)
+        if known:
+            last[:known] = given
+        for i in range(max(1, known), n + 1):
             back[i] = i - 1
             open_ = np.arange(m)
             for k in range(min(i, v.longest), 0, -1):
@@ -286,7 +300,7 @@ class Encoder:
                 rows, piece = open_[hit], piece[hit]
                 if v.merges:
                     before = last[i - k, rows]
-                    good = (before < 0) if i > k else np.ones(len(rows), bool)
+                    good = (before < 0) if i > k or known else np.ones(len(rows), bool)
                     ask = np.flatnonzero(~good)
                     if len(ask):
                         good[ask] = self._apart(before[ask], piece[ask])
@@ -314,6 +328,11 @@ class Encoder:
             if w and w not in self.known:
                 by.setdefault(len(w), []).append(w)
         for n, group in by.items():
+            if n > LONG and self.v.merges:
+                for w in group:
+                    ids = self._long(w)
+                    self._keep([w], np.zeros(len(ids), np.int64), ids)
+                continue
             for i in range(0, len(group), max(1, TOGETHER * 16 // max(n, 16))):
                 part = group[i : i + max(1, TOGETHER * 16 // max(n, 16))]
                 points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
@@ -334,7 +353,57 @@ class Encoder:
         owner = np.concatenate([o for o, _ in steps[::-1]])
         ids = np.concatenate([p for _, p in steps[::-1]])
         order = np.argsort(owner, kind="stable")
-        owner, ids = owner[order], ids[order]
+        self._keep(words, owner[order], ids[order])
+
+    def _long(self, word: str) -> np.ndarray:
+        """The ids of one long word, as `_trace` has them."""
+        v = self.v
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, ahead = len(points), max(AHEAD, 2 * v.longest)
+        wide = max(WINDOW, ahead)
+        count = -(-n // wide)
+        padded = np.zeros(ahead + count * wide, np.uint32)
+        padded[ahead : ahead + n] = points
+        windows = np.lib.stride_tricks.sliding_window_view(padded, ahead + wide)[::wide]
+        last, back = np.full(n + 1, _NONE, np.int32), np.zeros(n + 1, np.int64)
+        again: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
+        for k in range(0, count, 2048):
+            some = np.ascontiguousarray(windows[k : k + 2048])
+            ends, backs = self._batch(some)
+            if not k:
+                first_end, first_back = self._batch(points[None, :wide])
+                ends[ahead:, 0], backs[ahead:, 0] = _NONE, 0
+                size = min(n, wide)
+                last[: size + 1], back[: size + 1] = first_end[: size + 1, 0], first_back[: size + 1, 0]
+            for j in range(1 if not k else 0, len(some)):
+                at = (k + j) * wide
+                size = min(wide, n - at)
+                own, ways = ends[:, j], backs[:, j]
+                # Position `ahead` of the window is `at` of the word.
+                if (own[ahead - v.longest : ahead + 1] != last[at - v.longest : at + 1]).any():
+                    seed = last[at - v.longest : at + 1]
+                    key = some[j, ahead - v.longest :].tobytes(), seed.tobytes()
+                    if key not in again:
+                        e, b = self._batch(some[j : j + 1, ahead - v.longest :], seed[:, None])
+                        again[key] = e[:, 0], b[:, 0]
+                    e, b = again[key]
+                    own, ways = e[v.longest :], b[v.longest :] - v.longest
+                else:
+                    own, ways = own[ahead:], ways[ahead:] - ahead
+                last[at + 1 : at + size + 1] = own[1 : size + 1]
+                back[at + 1 : at + size + 1] = ways[1 : size + 1] + at
+        out = []
+        ends_, backs_ = last.tolist(), back.tolist()
+        at = n
+        while at > 0:
+            piece = ends_[at]
+            out.append(int(v.ids[piece]) if piece >= 0 else -1 - at)
+            at = backs_[at]
+        return np.array(out[::-1], np.int64)
+
+    def _keep(self, words: list[str], owner: np.ndarray, ids: np.ndarray) -> None:
+        """Remember the ids of words, given in the words' order; characters without a piece are places below -1."""
+        v, m = self.v, len(words)
         count = np.bincount(owner, minlength=m)
         if (ids < 0).any():
             ends = np.cumsum(count)
@@ -358,6 +427,7 @@ class Encoder:
         self.count[n_known : n_known + m] = count
         self.at[n_known : n_known + m] = first + np.cumsum(count) - count
         self.known.update(zip(words, range(n_known, n_known + m)))
+        self.held += 4 * len(ids) + sum(map(len, words)) + 160 * m
 
     def _bytes(self, c: str) -> list[int]:
         return [self.v.bytes_[b] for b in c.encode("utf-8", "surrogatepass")] if self.v.bytes_ else [self.v.unknown]
@@ -404,7 +474,7 @@ class Encoder:
         """The ids of all texts in a row, and where each text's begin."""
         cut = [self.words(t) for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED and self.known:
+        if self.held > REMEMBERED:
             self._forget()
             new = set(chain.from_iterable(cut))
         self.learn(new)
@@ -479,7 +549,9 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_ids, round_trip) for each row; `round_trip` tells whether decoding gives the text again.
 
     Defined cases: a null text has null ids, an empty one none. The mark U+2581 in a text is a space, as in the
-    library, so that such a text's round trip fails. Rows that repeat are encoded alike.
+    library, so that such a text's round trip fails. Texts of any length, with or without spaces, are encoded whole.
+    Rows that repeat are encoded alike; of equal sums of a unigram model the one with the longer last piece is taken.
+    Columns other than doc_id and text may have any names. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))  # tens of thousands of pieces: the model's size, not the table's
     return docs.select("doc_id", "text").mapInArrow(_encoded(shared, ["doc_id"]), "doc_id long, ids array<int>, n_ids int, round_trip boolean")

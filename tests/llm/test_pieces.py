@@ -42,6 +42,36 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert [e.encode([t])[0] for t in texts] == LIBRARY.encode(texts)
 
 
+@pytest.mark.parametrize("kind", ["random", "letters", "base64", "a", "ab", "cjk", "odd"])
+def test_long_texts_without_spaces(kind, monkeypatch):
+    r = random.Random(kind)
+    names = [LIBRARY.id_to_piece(i).replace("▁", "") for i in range(259, 32_000)]
+    text = {
+        "random": "".join(r.choice(names) for _ in range(1500)),
+        "letters": "".join(r.choice("etaoinshrdlu") for _ in range(9000)),
+        "base64": "".join(r.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(9000)),
+        "a": "a" * 9001,
+        "ab": "ab=" * 3001,
+        "cjk": "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(5000)),
+        "odd": "".join(r.choice("a😀é\x00b=") for _ in range(6000)),
+    }[kind]
+    e = pieces.Encoder(ENCODER.v)
+    assert e.encode([text])[0] == LIBRARY.encode(text)
+    assert e.encode(["x " + text, text[1:]]) == LIBRARY.encode(["x " + text, text[1:]])
+
+
+def test_a_megabyte_without_spaces_takes_seconds():
+    import base64
+    import time
+
+    text = base64.b64encode(random.Random(3).randbytes(750_000)).decode()
+    for t in (text, "a" * 1_000_000):
+        began = time.process_time()
+        ids = pieces.Encoder(ENCODER.v).encode([t])[0]
+        assert time.process_time() - began < 60
+        assert ENCODER.decode(ids) == t
+
+
 def test_unigram_model_takes_the_best_sum():
     """A small unigram vocabulary against all segmentations."""
     import numpy as np
