@@ -4,17 +4,17 @@ Words between white space are tagged as the begin of a secret, inside one, or ou
 shape, its beginning, the words around it and their shapes, and the file's language, size and share of digits.
 The tags of a document are those of the best whole sequence, found by Viterbi's algorithm.
 
-Words that nothing hints at are outside by constraint: they are shorter than 16 bytes, have no digit or less than
-`SHORT` bytes, hold no sign of assignment with something after it, and stand neither beside one, nor beside a word
-that names secrets, nor in a block. A block is the rest of the line after an assignment to such a name, or what
-a key's BEGIN and END enclose; in it words of any length and letters are open. A fixed tag parts a chain exactly,
-so that only runs of the other words are decoded; runs of many documents advance together.
+All words are scored. One that its score holds outside, by more than any tags of its neighbours could make up
+for, is outside in every best sequence; such words part a document into chains exactly, and chains of many documents
+advance together.
 
 The field is fitted here, by its likelihood, to sentences made up by a seeded generator: secrets of common
 forms, and harmless numbers, addresses, hashes and paths that resemble them.
 
-Defined cases: a null or empty text has no secrets. A null language counts as another one. A word of any length
-is tagged as a whole. Rows that repeat have equal results.
+Defined cases: a null or empty text has no secrets. A null language counts as another one. Words and texts of any
+length are tagged as a whole; of sequences of equal score the one with the lower tags first is taken. Rows that
+repeat have equal results, also with a null doc_id. Columns other than doc_id, text and lang may have any names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 BITS = 16
 #: Sentences that the fit uses, and its steps over them.
 SENTENCES, EPOCHS = 12_000, 6
-#: Words shorter than this need more of a hint than a digit.
-SHORT = 8
 #: Parts of words that name secrets, in lower case.
 NAMING = (b"pass", b"pwd", b"token", b"secret", b"key", b"auth", b"cred", b"phrase", b"mnemonic", b"pin", b"kennwort", b"geheim", b"contrase", b"clave")
 _LANGS = ("en", "de", "fr", "es")
@@ -68,33 +66,30 @@ class Words:
         self.at = at
         n = len(self.start)
         self.text = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
-        length = self.end - self.start
         digits = self._count(data, _CLASSES[0])
         self.data, self.n = data, n
-        self.open = np.flatnonzero((length >= SHORT) & (digits > 0) | (length >= 16) | self._hinted())
+        self._hints()
         digit_share = np.add.reduceat(np.append(digits, 0), np.minimum(self.first[:-1], n)) * (np.diff(self.first) > 0)
         size = np.diff(at)
         lang = np.array([_LANGS.index(x) if x in _LANGS else len(_LANGS) for x in langs])
         self.file = np.stack([lang, np.log2(size + 1).astype(int) // 2, np.minimum(5, np.log2(1 + 200 * digit_share / (size + 1)).astype(int))])
-        self._seen = seen
 
-    def _count(self, data: np.ndarray, kind: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    def _count(self, data: np.ndarray, kind: np.ndarray) -> np.ndarray:
         total = np.zeros(len(data) + 1, np.int32)
         np.cumsum(kind[data], out=total[1:])
-        s, e = (self.start, self.end) if which is None else (self.start[which], self.end[which])
-        return total[e] - total[s]
+        return total[self.end] - total[self.start]
 
-    def _hinted(self) -> np.ndarray:
-        """Words of any kind that stand where a secret may: at an assignment, by a name of secrets, or in a block.
+    def _hints(self) -> None:
+        """Where assignments to names of secrets, and blocks, stand.
 
-        Sets `where`: 1 in a block of a key, 2 on a line behind an assignment to a name of secrets, 0 elsewhere.
+        `where`: 1 in a block of a key, 2 on a line behind an assignment to a name of secrets, 0 elsewhere.
         """
         data, n = self.data, self.n
         self.where = np.zeros(n, np.int8)
         self.lines = np.flatnonzero(data == 10)
         if not n:
             self.given = self.asked = np.zeros(0, np.int64)
-            return np.zeros(0, bool)
+            return
         sign = (data == 61) | (data == 58)
         signs = np.zeros(len(data) + 1, np.int32)
         np.cumsum(sign, out=signs[1:])
@@ -112,10 +107,6 @@ class Words:
             word = np.searchsorted(self.start, at, "right") - 1
             name[word[(word >= 0) & (at + len(part) <= self.end[word])]] = code
         naming = name > 0
-        hinted = inner.copy()
-        hinted[1:] |= same & (ending[:-1] | naming[:-1])
-        hinted[:-1] |= same & naming[1:]
-        hinted[2:] |= naming[:-2] & (self.text[2:] == self.text[:-2])
         # The line goes on behind `name=`, `name = ` and `name : `.
         given = naming & (inner | ending)
         given[:-1] |= naming[:-1] & same & sign[self.start[1:]]
@@ -136,7 +127,6 @@ class Words:
             ends = np.searchsorted(self.start, [m.start() for m in re.finditer(rb"-----END", raw)], "right") - 1
             stop = np.append(ends, n)[np.searchsorted(ends, begin)]
             self._mark(begin + 1, np.minimum(stop, self.first[self.text[begin] + 1]), 1)
-        return hinted | (self.where > 0)
 
     def _mark(self, start: np.ndarray, stop: np.ndarray, kind: int) -> None:
         on = np.zeros(self.n + 1, np.int32)
@@ -145,116 +135,130 @@ class Words:
         self.where[np.cumsum(on)[:-1] > 0] = kind
 
     def _place(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each open word: where it stands, whether quotes are open on its line before it, and whether it begins the line.
+        """For each word: where it stands, whether quotes are open on its line before it, and whether it begins the line.
 
         And again with the name that its line asks for, and whether what was given is in quotes.
         """
-        at = self.start[self.open]
+        at = self.start
         k = np.searchsorted(self.lines, at)
-        head = np.maximum(self.at[self.text[self.open]], np.append(0, self.lines + 1)[k])
-        out = self.where[self.open].astype(np.int64)
+        head = np.maximum(self.at[self.text], np.append(0, self.lines + 1)[k])
+        out = self.where.astype(np.int64)
         for quote in (34, 39):
             seen = np.zeros(len(self.data) + 1, np.int32)
             np.cumsum(self.data == quote, out=seen[1:])
             out = out * 2 + ((seen[at] - seen[head]) & 1)
-        before = np.where(self.open > 0, self.end[np.maximum(self.open, 1) - 1], 0)
-        out = out * 2 + (before <= head)
-        k = np.searchsorted(self.given, self.open) - 1  # the word itself is no block of its own
-        on = (self.where[self.open] == 2) & (k >= 0)
+        out = out * 2 + (np.append(0, self.end[:-1]) <= head)
+        k = np.searchsorted(self.given, np.arange(self.n)) - 1  # the word itself is no block of its own
+        on = (self.where == 2) & (k >= 0)
         return out, np.where(on, self.asked[np.maximum(k, 0)] if len(self.given) else 0, 0) * 32 + out
 
-    def codes(self) -> np.ndarray:
-        """A row of hashed feature numbers for each open word."""
-        w = self.open
-        near = np.unique(np.clip(np.concatenate([w - 2, w - 1, w, w + 1]), 0, max(0, self.n - 1)))
-        s, e = self.start[near], self.end[near]
-        # Only the bytes of words near open ones are looked at.
-        size = e - s
-        ends = np.cumsum(size)
-        take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(s - ends + size, size)
-        raw = self.data[take]
-        cut = np.concatenate([[0], ends])
+    def codes(self) -> Iterator[np.ndarray]:
+        """Hashed feature numbers of all words, one feature after the other."""
+        n, raw = self.n, self.data
+        size = self.end - self.start
         length = np.maximum(1, size)
-        count = []
-        for kind in _CLASSES:
-            total = np.zeros(len(raw) + 1, np.int32)
-            np.cumsum(kind[raw], out=total[1:])
-            count.append(total[cut[1:]] - total[cut[:-1]])
+        count = [self._count(raw, kind) for kind in _CLASSES]
         digit, upper, lower, hexa, high = count[:5]
-        signs = np.stack(count[5:])
         share = [np.minimum(4, 5 * c // length) for c in (digit, upper, lower, high)]
         grade = np.minimum(9, np.log2(length).astype(int) * 2 + (length * length >= 2 << (2 * np.log2(length).astype(int))))
-        marks = (np.minimum(signs, 1) << np.arange(len(signs))[:, None]).sum(axis=0)
+        marks = np.zeros(n, np.int64)
+        for k, c in enumerate(count[5:]):
+            marks |= (c > 0).astype(np.int64) << k
         letters = digit + upper + lower
         hexlike = (digit + hexa >= letters) & (digit > 0)
         form = np.where(letters == digit, 0, np.where(hexlike, 1, np.where(lower == 0, 2, np.where(upper == 0, 3, np.where(digit > 0, 4, 5)))))
         shape = ((grade * 5 + share[0]) * 5 + share[1]) * 6 + form
-        seen = PLAIN[raw]
-        prefix = sums(raw)
-        plain = sums(seen)
-        whole = span_hash(plain, cut[:-1], cut[1:])
-        word_at = np.searchsorted(near, w)
-
-        def begin(k: int) -> np.ndarray:
-            return span_hash(prefix, cut[:-1], np.minimum(cut[:-1] + k, cut[1:]))
-
+        del count, share
+        prefix, plain = sums(raw), sums(PLAIN[raw])
+        whole = span_hash(plain, self.start, self.end)
+        first4, first8 = (span_hash(prefix, self.start, np.minimum(self.start + k, self.end)) for k in (4, 8))
         # What stands before the first sign of assignment, as `password` in `password=...`.
         sign = np.flatnonzero((raw == 61) | (raw == 58))
-        k = np.searchsorted(sign, cut[:-1])
-        has = k < len(sign)
-        first_sign = np.where(has, sign[np.minimum(k, max(0, len(sign) - 1))] if len(sign) else 0, 0)
-        has &= first_sign < cut[1:]
-        key = np.where(has, span_hash(plain, cut[:-1], np.where(has, first_sign, cut[:-1])), 0).astype(np.uint64)
-        rest = np.where(has, np.minimum(5, np.log2(np.maximum(1, cut[1:] - first_sign)).astype(int)), 9)
-        distinct = np.zeros(len(near), np.int64)
-        for i in word_at.tolist():
-            distinct[i] = min(9, len(set(raw[cut[i] : cut[i + 1]].tolist())) // 3)
-        index = np.searchsorted(near, np.clip(np.stack([w - 2, w - 1, w + 1]), 0, max(0, self.n - 1)))
-        own_text = self.text[w]
-        inside = np.stack([(w - 2 >= self.first[own_text]), (w - 1 >= self.first[own_text]), (w + 1 < self.first[own_text + 1])])
-        here = word_at
+        k = np.searchsorted(sign, self.start)
+        first_sign = np.append(sign, len(raw))[k]
+        has = first_sign < self.end
+        key = np.where(has, span_hash(plain, self.start, np.where(has, first_sign, self.start)), 0).astype(np.uint64)
+        rest = np.where(has, np.minimum(5, np.log2(np.maximum(1, self.end - first_sign)).astype(int)), 9)
+        del prefix, plain
+        distinct = np.minimum(9, self._distinct() // 3)
         # Neighbours count as words only if they are words: what another secret says is no context.
         tame = (digit == 0) & (size < 32)
+        looking = shape * 64 + np.minimum(63, marks % 61)
+
+        def moved(x: np.ndarray, by: int, none: int, fit: np.ndarray | None = None) -> np.ndarray:
+            """Each word's value of `x` for the word `by` places on, if that is of the same text."""
+            out = np.full(n, none, x.dtype)
+            if n > abs(by):
+                here, there = (slice(-by, None), slice(None, by)) if by < 0 else (slice(None, -by), slice(by, None))
+                good = self.text[here] == self.text[there]
+                if fit is not None:
+                    good &= fit[there]
+                out[here] = np.where(good, x[there], np.array(none, x.dtype))
+            return out
+
+        two, one, after = (moved(whole, by, 7, tame) for by in (-2, -1, 1))
+        place, asked = self._place()
+        parts = (
+            lambda: shape,
+            lambda: grade * 8 + form,
+            lambda: marks,
+            lambda: form * 16 + distinct,
+            lambda: first4,
+            lambda: first8,
+            lambda: key,
+            lambda: key * np.uint64(31) + (form * 16 + rest).astype(np.uint64),
+            lambda: two,
+            lambda: one,
+            lambda: after,
+            lambda: two * np.uint64(33) + one,
+            lambda: one * np.uint64(31) + form.astype(np.uint64),
+            lambda: (two * np.uint64(17) + one) * np.uint64(31) + (form * 16 + grade).astype(np.uint64),
+            lambda: moved(looking, -1, -1),
+            lambda: moved(looking, 1, -1),
+            *(lambda f=f: f[self.text] * 8 + form for f in self.file),
+            lambda: place * 8 + form,
+            lambda: (place * 8 + form) * 16 + grade,
+            lambda: asked * 8 + form,
+            lambda: whole,
+        )
+        for i, part in enumerate(parts):
+            x = np.asarray(part()).astype(np.int64).view(np.uint64) + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            yield (mix(x) >> np.uint64(64 - BITS)).astype(np.int32)
+
+    def _distinct(self) -> np.ndarray:
+        """How many different bytes each word has."""
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        np.add.at(inside, self.start, 1)
+        np.subtract.at(inside, self.end, 1)
+        on = np.cumsum(inside[:-1]) > 0
+        word = np.repeat(np.arange(self.n, dtype=np.uint32), self.end - self.start)
+        key = np.sort(word << np.uint32(8) | self.data[on])
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        return np.bincount(key[new] >> np.uint32(8), minlength=self.n)
+
+    def chains(self, kept: np.ndarray) -> np.ndarray:
+        """Where each run of neighbouring words of a text begins, among the ones kept; and the end of all."""
+        if not len(kept):
+            return np.zeros(1, np.int64)
+        new = (kept[1:] != kept[:-1] + 1) | (self.text[kept[1:]] != self.text[kept[:-1]])
+        return np.append(np.flatnonzero(np.append(True, new)), len(kept))
 
-        def word(k: int) -> np.ndarray:
-            return np.where(inside[k] & tame[index[k]], whole[index[k]], np.uint64(7))
 
-        def looks(k: int) -> np.ndarray:
-            return np.where(inside[k], shape[index[k]] * 64 + np.minimum(63, marks[index[k]] % 61), -1)
+def slack(moves: np.ndarray) -> float:
+    """What steps can gain at most by a word's being inside a secret rather than outside.
 
-        place, asked = self._place()
-        parts = [
-            shape[here],
-            grade[here] * 8 + form[here],
-            marks[here],
-            form[here] * 16 + distinct[here],
-            begin(4)[here].astype(np.uint64),
-            begin(8)[here].astype(np.uint64),
-            key[here],
-            key[here] * np.uint64(31) + (form[here] * 16 + rest[here]).astype(np.uint64),
-            word(0),
-            word(1),
-            word(2),
-            word(0) * np.uint64(33) + word(1),
-            word(1) * np.uint64(31) + form[here].astype(np.uint64),
-            (word(0) * np.uint64(17) + word(1)) * np.uint64(31) + (form[here] * 16 + grade[here]).astype(np.uint64),
-            looks(1),
-            looks(2),
-            *(f[own_text] * 8 + form[here] for f in self.file),
-            place * 8 + form[here],
-            (place * 8 + form[here]) * 16 + grade[here],
-            asked * 8 + form[here],
-        ]
-        out = [(mix(np.asarray(p).astype(np.int64).astype(np.uint64) + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - BITS)).astype(np.int64) for i, p in enumerate(parts)]
-        return np.stack(out, axis=1)
-
-    def chains(self) -> np.ndarray:
-        """Where each run of neighbouring open words of a text begins, among the open words; and the end of all."""
-        w = self.open
-        if not len(w):
-            return np.zeros(1, np.int64)
-        new = np.concatenate([[True], (w[1:] != w[:-1] + 1) | (self.text[w[1:]] != self.text[w[:-1]])])
-        return np.append(np.flatnonzero(new), len(w))
+    If the word behind it was inside, that begins a secret of its own then: what this costs is not counted here.
+    """
+    gain = 0.0
+    for a in range(3):
+        for x in (BEGIN, INSIDE):
+            for c in range(3):
+                if min(moves[a, x], moves[x, c]) <= _BLOCKED / 2:
+                    continue
+                new = BEGIN if c == INSIDE else c
+                on = max(0.0, float((moves[c] - moves[new])[moves[new] > _BLOCKED / 2].max())) if new != c else 0.0
+                gain = max(gain, moves[a, x] + moves[x, c] - moves[a, OUTSIDE] - moves[OUTSIDE, new] + on)
+    return gain
 
 
 def viterbi(emission: np.ndarray, bounds: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -295,6 +299,15 @@ def _word(r: random.Random) -> str:
     return (w.capitalize() if r.random() < 0.1 else w) + (r.choice(".,;:!?") if r.random() < 0.12 else "")
 
 
+_COMMON = ("is", "was", "ist", "est", "es", "the", "of", "to", "und", "de", "it", "that")
+
+
+def _prose(r: random.Random) -> str:
+    """A word as prose has it: some are very common, some long."""
+    x = r.random()
+    return r.choice(_COMMON) if x < 0.15 else _some(r, string.ascii_lowercase + "aeiouéü", r.randint(8, 20)) if x < 0.25 else _word(r)
+
+
 def _some(r: random.Random, letters: str, n: int) -> str:
     return "".join(r.choice(letters) for _ in range(n))
 
@@ -304,6 +317,28 @@ _NAMES = ("password", "passwd", "pwd", "pass", "token", "secret", "api_key", "ap
 _SAFE = ("id", "commit", "sha1", "md5", "checksum", "order", "version", "uuid", "phone", "tel", "card", "date", "ref", "build", "size", "ip", "etag", "color", "page", "isbn")
 
 
+#: Forms of secrets that tell themselves; and others, with other names, that the fit never sees.
+_FORMS = (
+    lambda r: r.choice(("AKIA", "ASIA")) + _some(r, _UPPER, 16),
+    lambda r: r.choice(("ghp_", "gho_", "ghs_")) + _some(r, _ALNUM, 36),
+    lambda r: r.choice(("sk-", "sk_live_", "pk_live_", "rk_test_")) + _some(r, _ALNUM, r.choice((24, 32, 48))),
+    lambda r: "xox" + r.choice("bap") + "-" + _some(r, string.digits, 11) + "-" + _some(r, _ALNUM, 24),
+    lambda r: "AIza" + _some(r, _ALNUM + "_-", 35),
+    lambda r: "eyJ" + _some(r, _ALNUM, 20) + ".eyJ" + _some(r, _ALNUM, 30) + "." + _some(r, _ALNUM + "_-", 43),
+    lambda r: _some(r, string.ascii_lowercase, r.randint(2, 5)) + r.choice("_-") + _some(r, _ALNUM, r.randint(20, 64)),
+)
+_UNSEEN = (
+    lambda r: "glpat-" + _some(r, _ALNUM + "_-", 20),
+    lambda r: "npm_" + _some(r, _ALNUM, 36),
+    lambda r: "SG." + _some(r, _ALNUM, 22) + "." + _some(r, _ALNUM + "_-", 43),
+    lambda r: "dop_v1_" + _some(r, _HEX, 64),
+    lambda r: "hf_" + _some(r, string.ascii_letters, 34),
+    lambda r: "shpat_" + _some(r, _HEX, 32),
+    lambda r: "PMAK-" + _some(r, _HEX, 24) + "-" + _some(r, _HEX, 34),
+)
+_UNSEEN_NAMES = ("db_passwd", "signing_key", "encryption_key", "service_token", "masterkey", "smtp_pass", "credentials", "session_secret")
+
+
 def _value(r: random.Random) -> str:
     kind = r.randrange(4)
     n = r.choice((16, 18, 20, 24, 32, 36, 40, 48, 64))
@@ -323,23 +358,12 @@ def _short(r: random.Random) -> str:
     return _some(r, string.ascii_lowercase if kind == 2 else r.choice((string.ascii_lowercase, string.ascii_letters)), r.randint(12, 40))
 
 
-def _secret(r: random.Random) -> tuple[list[str], list[int]]:
+def _secret(r: random.Random, unseen: bool = False) -> tuple[list[str], list[int]]:
     """Words of a secret in its setting, and their tags."""
     kind = r.randrange(16)
     if kind < 3:
-        form = r.choice(
-            (
-                lambda: r.choice(("AKIA", "ASIA")) + _some(r, _UPPER, 16),
-                lambda: r.choice(("ghp_", "gho_", "ghs_")) + _some(r, _ALNUM, 36),
-                lambda: r.choice(("sk-", "sk_live_", "pk_live_", "rk_test_")) + _some(r, _ALNUM, r.choice((24, 32, 48))),
-                lambda: "xox" + r.choice("bap") + "-" + _some(r, string.digits, 11) + "-" + _some(r, _ALNUM, 24),
-                lambda: "AIza" + _some(r, _ALNUM + "_-", 35),
-                lambda: "eyJ" + _some(r, _ALNUM, 20) + ".eyJ" + _some(r, _ALNUM, 30) + "." + _some(r, _ALNUM + "_-", 43),
-                lambda: "AKIA" + _some(r, _UPPER, 16),
-            )
-        )()
-        return [form], [BEGIN]
-    name = r.choice(_NAMES)
+        return [r.choice(_UNSEEN if unseen else _FORMS)(r)], [BEGIN]
+    name = r.choice(_UNSEEN_NAMES if unseen else _NAMES)
     if r.random() < 0.15:
         name = r.choice(("db_", "aws_", "user_", "my_")) + name
     if r.random() < 0.15:
@@ -382,7 +406,7 @@ def _secret(r: random.Random) -> tuple[list[str], list[int]]:
 
 def _harmless(r: random.Random) -> list[str]:
     digits = string.digits
-    kind = r.randrange(21)
+    kind = r.randrange(25)
     if kind == 0:
         return ["+1", f"({_some(r, digits, 3)})", f"{_some(r, digits, 3)}-{_some(r, digits, 4)}"]
     if kind == 1:
@@ -419,6 +443,14 @@ def _harmless(r: random.Random) -> list[str]:
         return [_word(r).strip(".,;:!?") + r.choice((":", "=", " :", " =")).strip(), *(_word(r) for _ in range(r.randint(1, 5)))]
     if kind == 17:
         return [r.choice(_NAMES), *(_word(r) for _ in range(r.randint(1, 4)))]
+    if kind == 21:
+        return [r.choice(_COMMON)] * r.randint(2, 9) + [_prose(r)]
+    if kind == 22:
+        return [_word(r).strip(".,;:!?"), r.choice(("is", "was", "ist", "est", "es")), *(_prose(r) for _ in range(r.randint(1, 3)))]
+    if kind == 23:
+        return [_word(r).strip(",;:!?") + r.choice((".", "", ",")) + str(r.randint(1, 99)) + "@mail" + str(r.randint(1, 20)) + ".example.com", _word(r)]
+    if kind == 24:
+        return [_word(r).strip(".,;:!?") + r.choice(("$$$", "***", "%%%", "&&&", "###")) + _some(r, string.ascii_lowercase + "é", r.randint(0, 3)) for _ in range(r.randint(1, 4))]
     if kind > 18:  # long ordinary words, in prose or in the cells of a table
         cell = r.choice(((), (), ("|",), ("-",)))
         words = ["".join(_word(r).strip(".,;:!?") for _ in range(r.randint(3, 7))) + r.choice(("", "", ".", ",", "!!")) for _ in range(r.randint(1, 3))]
@@ -427,7 +459,7 @@ def _harmless(r: random.Random) -> list[str]:
     return ["TODO" + _some(r, string.ascii_uppercase, r.randint(12, 20)), _some(r, string.ascii_uppercase + "_", r.randint(16, 24))]
 
 
-def sentences(n: int, seed: int) -> tuple[list[str], list[list[int]], list[str]]:
+def sentences(n: int, seed: int, unseen: bool = False) -> tuple[list[str], list[list[int]], list[str]]:
     """Made-up texts, a tag for each of their words, and languages."""
     r = random.Random(seed)
 
@@ -440,11 +472,11 @@ def sentences(n: int, seed: int) -> tuple[list[str], list[list[int]], list[str]]
         words: list[str] = []
         own: list[int] = []
         for _ in range(r.randint(1, 3)):
-            plain = [_word(r) for _ in range(r.randint(0, 8))]
+            plain = [_prose(r) for _ in range(r.randint(0, 8))]
             words += plain
             own += [OUTSIDE] * len(plain)
             if r.random() < 0.45:
-                w, t = _secret(r)
+                w, t = _secret(r, unseen)
             else:
                 w = _harmless(r)
                 t = [OUTSIDE] * len(w)
@@ -454,7 +486,7 @@ def sentences(n: int, seed: int) -> tuple[list[str], list[list[int]], list[str]]
                 w[-1] += "\n"
             words += w
             own += t
-        plain = [_word(r) for _ in range(r.randint(0, 6))]
+        plain = [_prose(r) for _ in range(r.randint(0, 6))]
         texts.append(" ".join(words + plain))
         tags.append(own + [OUTSIDE] * len(plain))
         langs.append(r.choice(_LANGS))
@@ -467,11 +499,23 @@ class Field:
     def __init__(self, weights: np.ndarray, moves: np.ndarray) -> None:
         self.weights, self.moves = weights, moves
 
+    def scores(self, words: Words) -> np.ndarray:
+        """The score of each tag of each word by itself."""
+        out = np.zeros((words.n, 3), np.float32)
+        for code in words.codes():
+            out += self.weights[code]
+        return out
+
     def tag(self, words: Words) -> np.ndarray:
-        """The tag of each open word."""
-        if not len(words.open):
-            return np.zeros(0, np.int8)
-        return viterbi(self.weights[words.codes()].sum(axis=1), words.chains(), self.moves)
+        """The tag of each word in its document's best sequence."""
+        out = np.zeros(words.n, np.int8)
+        score = self.scores(words)
+        # What the next word loses if it must begin a secret rather than go on in one.
+        later = np.append(np.maximum(0, score[1:, INSIDE] - score[1:, BEGIN]), 0)[: words.n]
+        sure = score[:, OUTSIDE] - np.maximum(score[:, BEGIN], score[:, INSIDE]) > slack(self.moves) + later + 1e-3
+        kept = np.flatnonzero(~sure)
+        out[kept] = viterbi(score[kept].astype(np.float64), words.chains(kept), self.moves)
+        return out
 
 
 def _sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -484,8 +528,8 @@ def fit(n: int = SENTENCES, epochs: int = EPOCHS, seed: int = 11) -> Field:
     texts, tags, langs = sentences(n, seed)
     column = pa.array(texts)
     words = Words(*strings(column), langs)
-    codes, bounds = words.codes(), words.chains()
-    truth = np.concatenate([np.array(t) for t in tags])[words.open]
+    codes, bounds = np.stack(list(words.codes()), axis=1), words.chains(np.arange(words.n))
+    truth = np.concatenate([np.array(t) for t in tags])
     weights = np.zeros((1 << BITS, 3))
     moves = np.zeros((3, 3))
     moves[OUTSIDE, INSIDE] = _BLOCKED
@@ -516,9 +560,9 @@ def fit(n: int = SENTENCES, epochs: int = EPOCHS, seed: int = 11) -> Field:
             p = np.exp(ahead + behind - total[:, None, None])
             y = truth[place]
             error = (p - np.eye(3)[y]) * on[:, :, None]
-            g = np.zeros_like(weights)
             flat = codes[place][on]
-            np.add.at(g, flat.ravel(), np.repeat(error[on], flat.shape[1], axis=0))
+            used, at = np.unique(flat, return_inverse=True)
+            g = np.stack([np.bincount(at.ravel(), weights=np.repeat(e, flat.shape[1]), minlength=len(used)) for e in error[on].T], axis=1)
             step = np.zeros((3, 3))
             for a, b, there in [(np.zeros(len(pick), int), y[:, 0], np.ones(len(pick), bool))] + [(y[:, t - 1], y[:, t], on[:, t]) for t in range(1, longest)]:
                 np.subtract.at(step, (a[there], b[there]), 1)
@@ -529,8 +573,7 @@ def fit(n: int = SENTENCES, epochs: int = EPOCHS, seed: int = 11) -> Field:
             for t in range(1, longest):
                 pair = ahead[:, t - 1, :, None] + moves[None] + (score[:, t] + behind[:, t])[:, None] - total[:, None, None]
                 step += (np.exp(pair) * on[:, t, None, None]).sum(axis=0)
-            used = np.unique(flat)
-            grad = g[used] / len(pick) + 1e-5 * weights[used]
+            grad = g / len(pick) + 1e-5 * weights[used]
             w2[used] += grad * grad
             weights[used] -= 0.2 * grad / np.sqrt(w2[used])
             step /= len(pick)
@@ -546,14 +589,12 @@ def fitted() -> Field:
 
 def spans(words: Words, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first and last word of each secret: a begin and the insides after it."""
-    w = words.open
     begin = np.flatnonzero(tags == BEGIN)
-    stop = np.ones(len(w) + 1, bool)
-    if len(w):
-        stop[1:-1] = (tags[1:] != INSIDE) | (w[1:] != w[:-1] + 1) | (words.text[w[1:]] != words.text[w[:-1]])
+    stop = np.ones(words.n + 1, bool)
+    stop[1:-1] = (tags[1:] != INSIDE) | (words.text[1:] != words.text[:-1])
     cuts = np.flatnonzero(stop)
     last = cuts[np.searchsorted(cuts, begin, "right")] - 1 if len(begin) else begin
-    return words.text[w[begin]], w[begin], w[last]
+    return words.text[begin], begin, last
 
 
 def _scanned(shared):
