@@ -13,12 +13,23 @@ from pyspark.sql import functions as F
 
 #: Sides of at most this many bytes are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of a batch that goes to a Python worker, about.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def thin(df: DataFrame) -> DataFrame:
+    """`df`, after limiting the batches that Python workers get to `BATCH_BYTES`, if the session has no limit of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "67108864b") == "67108864b":
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute `df` once, into the shared checkpoint folder, and end its lineage there."""
     spark = df.sparkSession

@@ -4,8 +4,13 @@ A text's code points c are summed as c[j] * BASE**j modulo the prime 2**61 - 1.
 any span's hash is one subtraction, two spans are compared by bringing both to the same power, and the longest
 common extension of two positions is found by binary search over such comparisons.
 
-Defined cases: a null text has a null fingerprint and no neighbour; an empty text has fingerprint 0. Texts
-shorter than `HEAD` characters have no neighbour. Rows that repeat have equal results.
+Contents are told apart by their texts, not by a hash. A beginning in common counts from `HEAD` characters on.
+
+Defined cases: a null text has a null fingerprint and no neighbour; an empty text has fingerprint 0. A shorter
+beginning in common counts as none, so that a text of fewer characters has no neighbour. Texts of any length are
+compared whole. Rows that repeat have equal results; a content that has no doc_id asks, but is no answer; of
+contents that share as much the smallest doc_id is told. Columns other than doc_id and text may have any names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,14 +19,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.llm.common import cut, partitions, slices, small, strings
+from grafwerk.llm.common import cut, partitions, slices, small, strings, thin
 
 PRIME = (1 << 61) - 1
 BASE = 1_152_921_504_606_838_747
-#: Characters at the start of a text that neighbours share.
+#: Characters from which on a beginning in common counts.
 HEAD = 32
 
 _P = np.uint64(PRIME)
@@ -125,56 +130,23 @@ def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 pa.array(n, pa.int64(), mask=null),
                 pa.array(whole.astype(np.int64), pa.int64(), mask=null),
                 pa.array(head.astype(np.int64), pa.int64(), mask=null | ~long),
+                part.column("mark"),
             ],
-            ["doc_id", "n_chars", "fingerprint", "head"],
+            ["doc_id", "n_chars", "fingerprint", "head", "mark"],
         )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, fingerprint, head) for each row."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, n_chars long, fingerprint long, head long")
-
-
-def _printed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
-        _, whole, _, _ = _marks(part.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array(whole.astype(np.int64)), part.column("text").cast(pa.string())], ["fingerprint", "text"])
-
-
-def _extensions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ours, theirs = batch.column("text").to_pylist(), batch.column("near_text").to_pylist()
-        common = [Prefixes(a).extension(0, Prefixes(b), 0) for a, b in zip(ours, theirs)]
-        yield pa.RecordBatch.from_arrays([batch.column("fingerprint"), batch.column("near_id"), pa.array(common, pa.int64())], ["fingerprint", "near_id", "common"])
-
-
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, fingerprint, near_id, common) for each row.
-
-    Contents of one head are ordered by their smallest doc_id; `near_id` is the smallest doc_id of the content
-    before, and `common` the characters that both have in common from their start; -1 and 0 where there is none.
-    """
-    marks = cut(fingerprints(docs))
-    contents = marks.where("head IS NOT NULL").groupBy("head", "fingerprint").agg(F.min("doc_id").alias("of")).where("of IS NOT NULL")
-    order = Window.partitionBy("head").orderBy("of", "fingerprint")
-    pairs = contents.select("fingerprint", "of", F.lag("of").over(order).alias("near_id"), F.lag("fingerprint").over(order).alias("near"))
-    pairs = cut(pairs.where("near_id IS NOT NULL"))
-    n = pairs.count()
-    wanted = pairs.select(F.explode(F.array("of", "near_id")).alias("doc_id")).distinct()
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(small(wanted, 2 * n), "doc_id", "left_semi")
-    texts = rows.mapInArrow(_printed, "fingerprint long, text string").dropDuplicates(["fingerprint"])
-    ours = texts.join(pairs, "fingerprint")
-    both = ours.join(texts.select(F.col("fingerprint").alias("near"), F.col("text").alias("near_text")), "near")
-    common = both.select("fingerprint", "near_id", "text", "near_text").mapInArrow(_extensions, "fingerprint long, near_id long, common long")
-    found = marks.drop("head").join(small(common, n), "fingerprint", "left")
-    return found.select("doc_id", "n_chars", "fingerprint", F.coalesce("near_id", F.lit(-1)).alias("near_id"), F.coalesce("common", F.lit(0)).alias("common"))
+    """(doc_id, n_chars, fingerprint, head, mark) for each row; `mark` is a second, independent hash."""
+    rows = thin(docs).select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, n_chars long, fingerprint long, head long, mark long")
 
 
 def _headed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         _, whole, head, long = _marks(part.column("text"))
-        rows = [part.column("doc_id").cast(pa.int64()), pa.array(whole.astype(np.int64)), pa.array(head.astype(np.int64)), part.column("text").cast(pa.string())]
-        yield pa.RecordBatch.from_arrays(rows, ["doc_id", "fingerprint", "head", "text"]).filter(pa.array(long))
+        rows = [part.column("doc_id").cast(pa.int64()), pa.array(whole.astype(np.int64)), part.column("mark"), pa.array(head.astype(np.int64)), part.column("text").cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(rows, ["doc_id", "fingerprint", "mark", "head", "text"]).filter(pa.array(long))
 
 
 def nearest(ids: list[int | None], shared: list[int]) -> list[tuple[int, int]]:
@@ -215,30 +187,30 @@ def nearest(ids: list[int | None], shared: list[int]) -> list[tuple[int, int]]:
 
 def _longest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results of each head's contents, from rows sorted by head and text; only one text is held besides the batch."""
-    head, last = None, None
-    prints: list[int] = []
+    head, last, same = None, None, None
+    prints: list[tuple[int, int]] = []
     ids: list[int | None] = []
     shared: list[int] = []
 
     def settled() -> pa.RecordBatch:
-        rows = [(p, near, n) for p, (near, n) in zip(prints, nearest(ids, shared)) if n]
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["fingerprint", "near_id", "common"])
+        rows = [(*p, near, n) for p, (near, n) in zip(prints, nearest(ids, shared)) if n]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["fingerprint", "mark", "near_id", "common"])
 
     for batch in batches:
         for part in slices([batch], "text"):
-            for i, p, h, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "fingerprint", "head", "text"))):
+            for i, p, m, h, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "fingerprint", "mark", "head", "text"))):
                 if h != head:
                     if len(prints) > 1:
                         yield settled()
-                    head, last, prints, ids, shared = h, None, [], [], []
-                if prints and prints[-1] == p:
+                    head, last, same, prints, ids, shared = h, None, None, [], [], []
+                if text == same:
                     ids[-1] = min((x for x in (ids[-1], i) if x is not None), default=None)
                     continue
                 own = Prefixes(text)
                 if last is not None:
                     shared.append(last.extension(0, own, 0))
-                last = own
-                prints.append(p)
+                last, same = own, text
+                prints.append((p, m))
                 ids.append(i)
     if len(prints) > 1:
         yield settled()
@@ -247,17 +219,18 @@ def _longest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def longest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, fingerprint, near_id, common) for each row: its longest beginning in common with another content.
 
-    `common` is the most characters that any other content with the same head shares from the start, and `near_id`
-    the smallest doc_id of the contents that share so many; -1 and 0 where there is none.
+    `common` is the most characters that any other content shares from the start, and `near_id` the smallest doc_id
+    of the contents that share so many; -1 and 0 where none shares `HEAD`.
     """
     marks = cut(fingerprints(docs))
-    contents = marks.where("head IS NOT NULL").groupBy("head", "fingerprint").agg(F.min("doc_id").alias("of"))
-    wanted = contents.withColumn("n", F.count("*").over(Window.partitionBy("head"))).where("n > 1").select("of").distinct()
-    wanted = cut(wanted)
+    contents = marks.where("head IS NOT NULL").groupBy("head", "fingerprint", "mark").agg(F.min("doc_id").alias("of"))
+    several = contents.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
+    wanted = cut(contents.join(several, "head", "left_semi").select("of").distinct())
     # Of each content the rows of its smallest doc_id; repeated ones meet in the sort.
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(small(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
-    rows = rows.mapInArrow(_headed, "doc_id long, fingerprint long, head long, text string")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    rows = rows.join(small(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    rows = rows.mapInArrow(_headed, "doc_id long, fingerprint long, mark long, head long, text string")
     rows = rows.repartition(partitions(docs.sparkSession), "head").sortWithinPartitions("head", "text")
-    common = cut(rows.mapInArrow(_longest, "fingerprint long, near_id long, common long"))
-    found = marks.drop("head").join(small(common, common.count()), "fingerprint", "left")
+    common = cut(rows.mapInArrow(_longest, "fingerprint long, mark long, near_id long, common long"))
+    found = marks.drop("head").join(small(common, common.count()), ["fingerprint", "mark"], "left")
     return found.select("doc_id", "n_chars", "fingerprint", F.coalesce("near_id", F.lit(-1)).alias("near_id"), F.coalesce("common", F.lit(0)).alias("common"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafwerk.llm import exact
-from grafwerk.llm.common import cut, fresh, partitions, ranges, runs, slices, small, strings, written
+from grafwerk.llm.common import cut, fresh, partitions, ranges, runs, slices, small, strings, thin, written
 from grafwerk.llm.grams import sets
 
 N, THRESHOLD = 3, 0.5
@@ -423,7 +423,7 @@ def single(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
     Numbers stand for doc_ids then, in their order, and the second table has (doc, doc_id, mark) of each.
     """
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = thin(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
     if every.where("n > 1").isEmpty():
         return rows, None

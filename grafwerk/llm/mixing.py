@@ -6,18 +6,22 @@ two fractional documents are paired and mass moves from one to the other, at ran
 integral. Buckets of a source are rounded side by side; each leaves one fractional document at most, and the
 leftovers meet in a tree of further rounds until one per source is left, which a last draw decides.
 
-Rates follow `temperature`: a source's target share of characters is its own share to that power, and the
-whole is scaled so that the least-repeated source gets `least` copies of each document.
+Rates follow target weights: with `weights`, a weight for each source, a source's share of the characters is its
+weight's share; sources without one are left out. Without `weights` they follow `temperature`: a source's target share of characters is its own share to that power, and the
+whole is scaled so that the least-repeated source gets `least` copies of each document, or so that all copies
+have `chars` characters together.
 
 Defined cases: documents are told apart by (source, doc_id); rows that repeat both are one unit of mass and
 each get its copies. A null source is a source of its own; a null doc_id is one unit. A null n_chars counts as
-0; a source without characters gets `least`. An empty table gives no rows.
+0; a source without characters gets `least`. Weights are 0 or more; null is the null source's key. Copies of a text
+of any length count by n_chars alone. Equal fractions are paired in the order of doc_id. Columns other than source,
+doc_id and n_chars may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,20 +86,28 @@ def _round(seed: str, level: int):
 _SHAPE = "source string, doc_id long, bucket long, part double"
 
 
-def rates(docs: DataFrame, temperature: float = TEMPERATURE, least: float = LEAST) -> DataFrame:
+def rates(docs: DataFrame, temperature: float = TEMPERATURE, least: float = LEAST, weights: Mapping[str | None, float] | None = None, chars: float | None = None) -> DataFrame:
     """(source, n, rate): units of each source and the copies that each should get. One row a source."""
     one = docs.groupBy("source", "doc_id").agg(F.max(F.coalesce(F.col("n_chars"), F.lit(0))).alias("n_chars"))
     per = one.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").cast("double").alias("mass"))
     # With shares s to the power t, copies a document are s**t / s up to a factor; the least is that of the largest source.
     raw = F.when(F.col("mass") > 0, F.pow("mass", F.lit(temperature - 1.0)))
-    lowest = per.agg(F.min(raw).alias("low"))
-    return per.crossJoin(lowest).select("source", "n", F.coalesce(F.lit(least) * raw / F.col("low"), F.lit(least)).alias("rate"))
-
-
-def copies(docs: DataFrame, temperature: float = TEMPERATURE, least: float = LEAST, seed: str = "mix") -> DataFrame:
-    """(source, doc_id, copies) for each unit of `docs`."""
+    fallback = F.lit(float(least))
+    if weights is not None:
+        if any(not 0 <= w < math.inf for w in weights.values()):
+            raise ValueError("weights are numbers of 0 or more")
+        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "of string, weight double")
+        per = per.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("of")), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+        raw = F.when(F.col("mass") > 0, F.col("weight") / F.col("mass"))
+        fallback = F.when(F.col("weight") > 0, fallback).otherwise(0.0)
+    scale = F.lit(float(least)) / F.min(F.when(raw > 0, raw)) if chars is None else F.lit(float(chars)) / F.sum(raw * F.col("mass"))
+    return per.crossJoin(F.broadcast(per.agg(scale.alias("scale")))).select("source", "n", F.coalesce(F.col("scale") * raw, fallback).alias("rate"))
+
+
+def copies(docs: DataFrame, temperature: float = TEMPERATURE, least: float = LEAST, seed: str = "mix", weights: Mapping[str | None, float] | None = None, chars: float | None = None) -> DataFrame:
+    """(source, doc_id, copies) for each unit of `docs`; see the module for `weights` and `chars`."""
     docs = docs.select(F.col("source").cast("string").alias("source"), "doc_id", "n_chars")
-    per = cut(rates(docs, temperature, least))
+    per = cut(rates(docs, temperature, least, weights, chars))
     sources, most = per.agg(F.count("*"), F.max("n")).first()
     units = docs.select("source", "doc_id").distinct()
     same = units["source"].eqNullSafe(per["source"])
@@ -123,10 +135,10 @@ def copies(docs: DataFrame, temperature: float = TEMPERATURE, least: float = LEA
     return extra.join(small(per_whole, sources), extra["source"].eqNullSafe(F.col("of"))).select("source", "doc_id", (F.col("whole") + F.col("extra")).alias("copies"))
 
 
-def mixed(docs: DataFrame, temperature: float = TEMPERATURE, least: float = LEAST, seed: str = "mix") -> DataFrame:
+def mixed(docs: DataFrame, temperature: float = TEMPERATURE, least: float = LEAST, seed: str = "mix", weights: Mapping[str | None, float] | None = None, chars: float | None = None) -> DataFrame:
     """The rows of `docs`, each as often as its copies say, with all their columns."""
     n, s, i, again = fresh(docs, "copies", "of_source", "of_id", "again")
-    given = copies(docs, temperature, least, seed).select(F.col("source").alias(s), F.col("doc_id").alias(i), F.col("copies").alias(n))
+    given = copies(docs, temperature, least, seed, weights, chars).select(F.col("source").alias(s), F.col("doc_id").alias(i), F.col("copies").alias(n))
     # Units of one copy, mostly the large sources', need no row of the join's small side.
     joined = docs.join(given, F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").cast("string").eqNullSafe(F.col(s)))
     return joined.withColumn(again, F.explode(F.array_repeat(F.lit(1), F.col(n)))).drop(n, s, i, again)

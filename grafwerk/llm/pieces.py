@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.llm.common import ranges, slices, strings
+from grafwerk.llm.common import ranges, slices, strings, thin
 
 #: Default place of the model file.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -554,7 +554,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     Columns other than doc_id and text may have any names. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))  # tens of thousands of pieces: the model's size, not the table's
-    return docs.select("doc_id", "text").mapInArrow(_encoded(shared, ["doc_id"]), "doc_id long, ids array<int>, n_ids int, round_trip boolean")
+    return thin(docs).select("doc_id", "text").mapInArrow(_encoded(shared, ["doc_id"]), "doc_id long, ids array<int>, n_ids int, round_trip boolean")
 
 
 def _decoded(shared):

@@ -49,10 +49,6 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.neighbours(table(spark, sf_dir, "documents"))
-
-
-def op10_longest_beginnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.longest(table(spark, sf_dir, "documents"))
 
 
@@ -68,6 +64,5 @@ def queries() -> dict[str, Query]:
         op8_exact_dedup,
         op9_repeated_passages,
         op10_fingerprints,
-        op10_longest_beginnings,
     )
     return {f.__name__: f for f in every}

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.llm.common import slices
+from grafwerk.llm.common import slices, thin
 
 #: Default place of the ranks of a byte-level vocabulary, and its pattern of words.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -422,7 +422,7 @@ def write(docs: DataFrame, path: str = RANKS, length: int = LENGTH) -> DataFrame
     """
     if not 1 <= length <= LENGTH:
         raise ValueError(f"a block has 1 to {LENGTH} ids")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_written(path, length), _SHAPE)
+    return thin(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_written(path, length), _SHAPE)
 
 
 def _read(path: str):

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from grafwerk.llm.common import mix, slices, strings
+from grafwerk.llm.common import mix, slices, strings, thin
 from grafwerk.llm.words import PLAIN, SPACE, span_hash, split, sums
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
@@ -616,4 +616,4 @@ def _scanned(shared):
 def secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, begin, end) of each secret, in characters."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted())  # 2**16 features by 3 tags, whatever the table
-    return docs.selectExpr("doc_id", "text", "cast(lang as string) as lang").mapInArrow(_scanned(shared), "doc_id long, begin long, end long")
+    return thin(docs).selectExpr("doc_id", "text", "cast(lang as string) as lang").mapInArrow(_scanned(shared), "doc_id long, begin long, end long")

@@ -1,13 +1,15 @@
 """Toxicity by a classifier with counterfactual regularisation.
 
 A logistic model over hashed words and word beginnings is fitted to labelled documents. Each labelled text has
-a counterfactual twin, in which an identity term is swapped for another one (or, where it has none, put in);
+a counterfactual twin, in which every identity term is swapped for another one of its kind (or, where it has none, one is put in);
 the squared change of the score between the two is penalised, so that a mere mention of a group moves no score.
 
 The fit uses at most `SAMPLE` labelled rows, those of the smallest id hashes; every document is scored.
 
 Defined cases: a null or empty text has no features and is never rejected. Labels without a document, null
-labels and labels of either class alone leave a model that rejects nothing. Rows that repeat score alike.
+labels and labels of either class alone leave a model that rejects nothing; of labels that repeat a doc_id the
+greatest counts. Texts of any length are scored whole. Rows that repeat score alike, and a text at the limit itself
+is rejected. Columns other than doc_id, text and toxic may have any names and stay. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.llm.common import cut, slices, strings
+from grafwerk.llm.common import cut, slices, strings, thin
 from grafwerk.llm.words import PLAIN, span_hash, split, sums
 
 #: Labelled rows that the fit uses at most.
@@ -101,14 +103,32 @@ def _twins(rows: list[np.ndarray], seed: int) -> list[tuple[np.ndarray, np.ndarr
     for ids in rows:
         have = set(ids.tolist())
         found = [(f, k) for f, family in enumerate(families) for k, t in enumerate(family) if int(t[0]) in have and have.issuperset(t.tolist())]
-        f, k = found[rng.integers(len(found))] if found else (int(rng.integers(len(families))), -1)
-        other = int(rng.integers(len(families[f])))
-        gone = families[f][k] if k >= 0 and other != k else np.zeros(0, np.int64)
-        come = families[f][other] if other != k else np.zeros(0, np.int64)
-        out.append((gone, come))
+        gone, come = [], []
+        for f, k in found or [(int(rng.integers(len(families))), -1)]:
+            others = [t for i, t in enumerate(families[f]) if i != k]
+            come.append(others[rng.integers(len(others))])
+            if k >= 0:
+                gone.append(families[f][k])
+        lost, new = (set(np.concatenate(x).tolist()) if x else set() for x in (gone, come))
+        out.append(tuple(np.array(sorted(x), np.int64) for x in (lost - new, new - lost - (have - lost))))
     return out
 
 
+def gradient(w: np.ndarray, bias: float, rows: list, toxic: np.ndarray, weight: np.ndarray, twins: list, pairing: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features, what each adds to the gradient, the bias's) of weighted log losses and squared changes between twins."""
+    ids = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    logit = bias + np.bincount(owner, weights=w[ids], minlength=len(rows))
+    error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic) * weight
+    all_ids, all_g = [ids], [error[owner]]
+    for gone, come in twins:
+        change = w[come].sum() - w[gone].sum()
+        if pairing and change:
+            all_ids += [come, gone]
+            all_g += [np.full(len(come), 2 * pairing * change), np.full(len(gone), -2 * pairing * change)]
+    return np.concatenate(all_ids), np.concatenate(all_g), float(error.sum())
+
+
 def fit(rows: list[np.ndarray], toxic: np.ndarray, pairing: float = PAIRING, epochs: int = 12, seed: int = 7) -> Model:
     """Fit by FTRL-proximal steps over mini-batches; L1 leaves most weights at zero, and none is negative.
 
@@ -126,6 +146,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, pairing: float = PAIRING, epo
     for _, come in twins:
         usual[come] |= df[come] >= LEAST_DF
     x = [r[usual[r]].astype(np.int64) for r in rows]
+    twins = [(gone[usual[gone]], come[usual[come]]) for gone, come in twins]
     held = rng.random(len(x)) < 0.2
     train = np.flatnonzero(~held)
     weight = np.where(toxic == 1, min(10.0, max(1.0, (toxic == 0).sum() / (toxic == 1).sum())) ** 0.5, 1.0)
@@ -145,21 +166,10 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, pairing: float = PAIRING, epo
         rng.shuffle(train)
         for k in range(0, len(train), 32):
             batch = train[k : k + 32]
-            ids = np.concatenate([x[i] for i in batch])
-            owner = np.repeat(np.arange(len(batch)), [len(x[i]) for i in batch])
-            logit = bias + np.bincount(owner, weights=w[ids], minlength=len(batch))
-            error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic[batch]) * weight[batch]
-            bias_n += float(error @ error)
-            bias -= 0.3 / np.sqrt(bias_n) * float(error.sum())
-            all_ids, all_g = [ids], [error[owner]]
-            for i in batch:
-                gone, come = twins[i]
-                gone, come = gone[usual[gone]], come[usual[come]]
-                change = w[come].sum() - w[gone].sum()
-                if pairing and change:
-                    all_ids += [come, gone]
-                    all_g += [np.full(len(come), 2 * pairing * change), np.full(len(gone), -2 * pairing * change)]
-            step(np.concatenate(all_ids), np.concatenate(all_g))
+            ids, g, of_bias = gradient(w, bias, [x[i] for i in batch], toxic[batch], weight[batch], [twins[i] for i in batch], pairing)
+            bias_n += of_bias * of_bias
+            bias -= 0.3 / np.sqrt(bias_n) * of_bias
+            step(ids, g)
     logits = np.array([bias + w[r].sum() for r in x])
     at = held if 0 < toxic[held].sum() < held.sum() else np.ones(len(x), bool)
     order = np.argsort(-logits[at], kind="stable")
@@ -216,10 +226,10 @@ def _scored(model: Model, names: list[str], reject: bool):
 def toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score) for each row that is rejected."""
     model = train(docs, labels, sample)
-    return docs.select("doc_id", "text").mapInArrow(_scored(model, [], True), "doc_id long, score double")
+    return thin(docs).select("doc_id", "text").mapInArrow(_scored(model, [], True), "doc_id long, score double")
 
 
 def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of `docs` that aren't rejected, with all their columns."""
     model = train(docs, labels, sample)
-    return docs.mapInArrow(_scored(model, docs.columns, False), docs.schema)
+    return thin(docs).mapInArrow(_scored(model, docs.columns, False), docs.schema)

@@ -32,16 +32,25 @@ def test_spans_and_extensions():
         assert x.same(i, y, j, k) == (a[i : i + k] == b[j : j + k])
 
 
-def test_neighbours(spark):
+def test_odd_rows(spark):
     head = "the same beginning of thirty-two "
-    rows = [(3, head + "a long tail"), (1, head + "a longer tail"), (2, head + "a long tail"), (7, "short"), (8, None), (9, ""), (None, head + "zz"), (10, "y" * 100_000), (10, "y" * 100_000)]
-    got = fp.neighbours(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, head int")).collect()
+    rows = [(3, head + "a long tail"), (1, head + "a longer tail"), (2, head + "a long tail"), (7, "short"), (8, None), (9, ""), (None, head + "zz"), (10, "y" * 100_000), (10, "y" * 100_000), (10, "y" * 50)]
+    got = fp.longest(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, head int, mark int")).collect()
     assert len(got) == len(rows)
-    by = {r["doc_id"]: r for r in got}
-    assert by[7]["fingerprint"] == whole("short") and by[8]["fingerprint"] is None and by[9]["fingerprint"] == 0
-    assert (by[2]["near_id"], by[2]["common"]) == (1, len(head) + 6) and by[3]["near_id"] == 1 and by[1]["near_id"] == -1
-    assert by[10]["fingerprint"] == whole("y" * 100_000) and by[None]["near_id"] == -1
-    assert fp.neighbours(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    by = {(r["doc_id"], r["n_chars"]): r for r in got}
+    assert by[7, 5]["fingerprint"] == whole("short") and by[8, None]["fingerprint"] is None and by[9, 0]["fingerprint"] == 0
+    assert (by[2, 44]["near_id"], by[2, 44]["common"]) == (1, len(head) + 6) and by[3, 44]["near_id"] == 1 and by[1, 46]["near_id"] == 2
+    assert by[10, 100_000]["fingerprint"] == whole("y" * 100_000) and by[10, 100_000]["common"] == 50 and by[None, 35]["near_id"] == 1
+
+
+def test_equal_hashes_of_different_texts(spark, monkeypatch):
+    """Contents whose fingerprints collide stay two contents."""
+    rows = [(i, 0, 5, 77, "x" * 40 + c) for i, c in ((1, "a"), (2, "b"), (3, "b"), (4, "bc"))]
+    import pyarrow as pa
+
+    cols = [pa.array([r[k] for r in rows]) for k in range(5)]
+    (out,) = fp._longest([pa.RecordBatch.from_arrays(cols, ["doc_id", "fingerprint", "mark", "head", "text"])])
+    assert out.column("common").to_pylist() == [40, 41, 41] and out.column("near_id").to_pylist() == [2, 4, 2]
 
 
 def test_longest_equals_all_pairs(spark):

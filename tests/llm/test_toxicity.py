@@ -66,3 +66,38 @@ def test_operator_on_odd_rows(spark):
     assert toxicity.toxic(df, one).count() == 0
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxic(df, none).count() == 0 and toxicity.clean(df.limit(0), labels).count() == 0
+
+
+def test_gradient_equals_finite_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [rng.choice(12, 5, replace=False) for _ in range(6)]
+    twins = [(np.array([1, 2]), np.array([3])), (np.zeros(0, int), np.array([4, 5])), *[(np.zeros(0, int), np.zeros(0, int))] * 4]
+    y, weight, w, bias = np.array([1, 0, 1, 0, 0, 1]), rng.uniform(1, 2, 6), rng.normal(size=12), 0.3
+
+    def loss(w, bias):
+        z = np.array([bias + w[r].sum() for r in rows])
+        return (weight * (np.log1p(np.exp(z)) - y * z)).sum() + 2.5 * sum((w[c].sum() - w[g].sum()) ** 2 for g, c in twins)
+
+    ids, g, of_bias = toxicity.gradient(w, bias, rows, y, weight, twins, 2.5)
+    total = np.bincount(ids, weights=g, minlength=12)
+    for k in range(12):
+        e = np.eye(12)[k] * 1e-6
+        assert abs((loss(w + e, bias) - loss(w - e, bias)) / 2e-6 - total[k]) < 1e-5
+    assert abs((loss(w, bias + 1e-6) - loss(w, bias - 1e-6)) / 2e-6 - of_bias) < 1e-5
+
+
+def test_twins_swap_every_term():
+    import numpy as np
+
+    def ids(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return np.unique(toxicity.features(raw, np.array([0, len(raw)]))[1])
+
+    gone, come = toxicity._twins([ids("deaf muslim women sang")], 1)[0]
+    for term in ("deaf", "muslim", "women"):
+        assert int(ids(term)[0]) in gone.tolist() or not set(ids(term).tolist()).isdisjoint(gone.tolist())
+    assert len(come) >= 3 and not set(gone.tolist()) & set(come.tolist())
+    gone, come = toxicity._twins([ids("nobody here")], 1)[0]
+    assert len(gone) == 0 and len(come) >= 1
