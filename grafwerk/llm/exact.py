@@ -5,7 +5,9 @@ cuckoo filter; a hit is looked up among the stored keys, and the texts behind di
 compared themselves. Digests travel first, without texts; only texts whose digest recurs are moved.
 
 Defined cases: a null text is no content, it is never a copy and is kept; empty texts are equal to each other.
-Of equal texts the row with the smallest doc_id stays (null ids come last); of repeated rows one stays.
+Of equal texts the row with the smallest doc_id stays (null ids come last); of repeated rows one stays, and of rows
+of one doc_id the smallest by the other columns. Texts of any length are compared whole, behind their digests.
+Columns other than doc_id and text, also ones named like those used here, stay. An empty table gives no rows.
 """
 
 from __future__ import annotations

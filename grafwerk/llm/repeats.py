@@ -12,8 +12,10 @@ increasing length. At `LEAST` the expansion stops: suffixes not told apart by th
 Documents of one text aren't compared: all of each is one passage, if it is long enough.
 
 Defined cases: rows with a null doc_id or text have no passages, nor have texts of fewer than `LEAST` words.
-Rows that repeat a doc_id are one document, of its smallest text. Words are told apart exactly, by case and
-punctuation too; white space only separates them.
+Rows that repeat doc_id and text are one document; rows that repeat a doc_id with another text are documents of
+their own, whose results bear the same doc_id. Texts of any length are compared whole. Words are told apart exactly,
+by case and punctuation too; white space only separates them. Columns other than doc_id and text may have any names.
+An empty table has no passages.
 """
 
 from __future__ import annotations
@@ -258,7 +260,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """(doc_id, begin, end, first_id): words [begin, end) of the document are a passage; `first_id` is the smallest doc_id that has part of it."""
     gram = min(gram, least)
-    rows = single(docs)
+    rows, numbers = single(docs)
     same = cut(exact.copies(rows))
     count = same.count()
     firsts = rows.join(small(same.select("doc_id"), count), "doc_id", "left_anti")
@@ -284,4 +286,7 @@ def passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame
     marked = both.withColumn("new", F.when(reach.isNull() | (F.col("begin") > reach), 1).otherwise(0))
     marked = marked.withColumn("nth", F.sum("new").over(order))
     merged = marked.groupBy("doc", "nth").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("first").alias("first_id"))
-    return merged.select(F.col("doc").alias("doc_id"), "begin", "end", "first_id")
+    if numbers is None:
+        return merged.select(F.col("doc").alias("doc_id"), "begin", "end", "first_id")
+    merged = merged.drop("nth").join(numbers.select("doc", "doc_id"), "doc")
+    return merged.join(numbers.select(F.col("doc").alias("first_id"), F.col("doc_id").alias("first")), "first_id").select("doc_id", "begin", "end", F.col("first").alias("first_id"))

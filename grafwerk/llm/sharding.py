@@ -6,7 +6,9 @@ again, the fullest shard of one with the emptiest of the other, until one is lef
 combined side by side and each leaves one partial partition; those meet in a tree by the same rule.
 
 Defined cases: a null text is a group of its own for each doc_id, of 0 bytes; empty texts are one group.
-Repeated rows each keep their place and count their bytes. An empty table gives no rows.
+Repeated rows each keep their place and count their bytes; of groups of equal bytes the one met first counts. A text
+of any length counts whole and is never split. A null doc_id with a text goes with its text. Columns other than
+doc_id and text may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations

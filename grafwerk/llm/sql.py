@@ -40,18 +40,20 @@ FROM marks m LEFT JOIN shared s ON m.fingerprint = s.fingerprint
 
 
 PASSAGES = f"""
-WITH rows AS (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id),
-words AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\t\\n\\x0b\\f\\r ]+'), lambda w: w <> '') AS w FROM rows),
+WITH rows AS (
+  SELECT row_number() OVER () AS k, doc_id, text
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+words AS (SELECT k, doc_id, list_filter(string_split_regex(text, '[\\t\\n\\x0b\\f\\r ]+'), lambda w: w <> '') AS w FROM rows),
 windows AS (
-  SELECT doc_id, i, array_to_string(w[i + 1 : i + {LEAST}], ' ') AS text
-  FROM (SELECT doc_id, w, unnest(range(len(w) - {LEAST} + 1)) AS i FROM words WHERE len(w) >= {LEAST})),
-shared AS (SELECT text, min(doc_id) AS first FROM windows GROUP BY text HAVING count(DISTINCT doc_id) > 1),
+  SELECT k, doc_id, i, array_to_string(w[i + 1 : i + {LEAST}], ' ') AS text
+  FROM (SELECT k, doc_id, w, unnest(range(len(w) - {LEAST} + 1)) AS i FROM words WHERE len(w) >= {LEAST})),
+shared AS (SELECT text, min(doc_id) AS first FROM windows GROUP BY text HAVING count(DISTINCT k) > 1),
 marked AS (
-  SELECT doc_id, i, first, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LEAST} THEN 1 ELSE 0 END AS new
+  SELECT k, doc_id, i, first, CASE WHEN i > lag(i) OVER (PARTITION BY k ORDER BY i) + {LEAST} THEN 1 ELSE 0 END AS new
   FROM windows JOIN shared USING (text)),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM marked)
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY i) AS nth FROM marked)
 SELECT doc_id, CAST(min(i) AS BIGINT) AS begin, CAST(max(i) + {LEAST} AS BIGINT) AS end, min(first) AS first_id
-FROM numbered GROUP BY doc_id, nth
+FROM numbered GROUP BY k, doc_id, nth
 """
 
 JACCARD = f"""

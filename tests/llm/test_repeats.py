@@ -75,3 +75,10 @@ def test_passages_equal_brute_force(spark, seed, least, gram):
 
 def test_empty_table(spark):
     assert repeats.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_that_repeat_a_doc_id_are_compared_each(spark):
+    a, b = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    rows = [(1, a), (5, "x " + a), (5, "y " + b), (5, "y " + b), (7, b + " z")]
+    got = sorted(tuple(r) for r in repeats.passages(spark.createDataFrame(rows, "doc_id long, text string"), 8, 3).collect())
+    assert got == [(1, 0, 12, 1), (5, 1, 13, 1), (5, 1, 13, 5), (7, 0, 12, 5)]
