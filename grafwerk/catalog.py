@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grafwerk.plans import bindings
+from grafwerk.plans import bindings, diagnosis
 
 FLAGSHIP = "called_pous"
+#: Modules that bind queries as they are imported.
+BOUND = (bindings, diagnosis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

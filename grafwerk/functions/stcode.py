@@ -212,60 +212,37 @@ def _shown(node) -> str:
     return node[1] if node[0] == "name" else node[0].upper()
 
 
-def _negate(node):
-    kind = node[0]
-    if kind == "not":
-        return node[1]
-    if kind == "and":
-        return ("or", _negate(node[1]), _negate(node[2]))
-    if kind == "or":
-        return ("and", _negate(node[1]), _negate(node[2]))
-    if kind == "xor":
-        return ("or", ("and", node[1], node[2]), ("and", _negate(node[1]), _negate(node[2])))
-    return {"true": ("false",), "false": ("true",)}.get(kind, ("not", node))
-
-
-def _paths(node) -> list[list[tuple[str, bool]]]:
-    kind = node[0]
-    if kind == "true":
-        return [[]]
-    if kind == "false":
-        return []
+def _ways(node, want: bool) -> list[dict[str, tuple[str, bool]]]:
+    """The ways in which a node takes the wanted value: by upper-cased name, as the language has it, the name and what it needs."""
+    kind, *parts = node
+    if kind in ("true", "false"):
+        return [{}] if want == (kind == "true") else []
     if kind == "name":
-        return [[(node[1], True)]]
+        return [{parts[0].upper(): (parts[0], want)}]
     if kind == "not":
-        return [[(node[1][1], False)]] if node[1][0] == "name" else _paths(_negate(node[1]))
-    if kind == "or":
-        out = _paths(node[1]) + _paths(node[2])
-    elif kind == "xor":
-        out = _paths(("or", ("and", node[1], _negate(node[2])), ("and", _negate(node[1]), node[2])))
+        return _ways(parts[0], not want)
+    if kind == "xor":
+        out = [w for left in (True, False) for w in _together(_ways(parts[0], left), _ways(parts[1], left != want))]
+    elif (kind == "and") == want:
+        out = _together(*(_ways(p, want) for p in parts))
     else:
-        out = []
-        for a in _paths(node[1]):
-            for b in _paths(node[2]):
-                both = list(a)
-                have = dict(a)
-                fits = True
-                for token, need in b:
-                    if have.get(token, need) != need:
-                        fits = False
-                        break
-                    if token not in have:
-                        have[token] = need
-                        both.append((token, need))
-                if fits:
-                    out.append(both)
+        out = [w for p in parts for w in _ways(p, want)]
     if len(out) > MOST_PATHS:
         raise ValueError(f"a condition has more than {MOST_PATHS} paths")
     return out
 
 
+def _together(first: list[dict], second: list[dict]) -> list[dict]:
+    """Every way of the first with every one of the second that asks for nothing else of the same name."""
+    return [a | {k: v for k, v in b.items() if k not in a} for a in first for b in second if all(a[k][1] == b[k][1] for k in a.keys() & b.keys())]
+
+
 def truth_paths(condition: str, compat: bool = False) -> list[list[tuple[str, bool]]]:
     """The ways in which a condition becomes true: names with the values that they need together."""
     words = _words(condition, compat)
     if not words:
         return []
-    paths = _paths(_Reader(words, compat).either())
+    paths = [list(w.values()) for w in _ways(_Reader(words, compat).either(), True)]
     if not paths and compat:
         names = [w for w in words if w.upper() not in ("AND", "OR", "NOT", "(", ")", "TRUE", "FALSE")]
         return [[(n, True) for n in names]] if names else []

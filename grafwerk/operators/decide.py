@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,61 @@ def decision(incidents: DataFrame, winners: DataFrame) -> DataFrame:
     )
 
 
+def output_match(calls: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(call, matches) of calls (call, name, kind, want) against what came back (call, name, have): every wanted output must be there and agree."""
+    seen = outputs.groupBy("call", "name").agg(F.max("have").alias("have"))
+    ok = same_value(F.col("kind"), F.col("want"), F.col("have"))
+    return calls.join(seen, ["call", "name"], "left").groupBy("call").agg(F.bool_and(ok).alias("matches"))
+
+
+def summaries(incidents: DataFrame, candidates: DataFrame, winners: DataFrame) -> DataFrame:
+    """(incident, considered, won, lost): the candidates (incident, candidate) of each, those that won and the others, as sorted lists."""
+    marked = candidates.select("incident", "candidate").distinct().join(winners.select("incident", "candidate", F.lit(True).alias("won")).distinct(), ["incident", "candidate"], "left")
+
+    def listed(when: Column) -> Column:
+        return F.concat_ws(",", F.sort_array(F.collect_list(F.when(when, F.col("candidate").cast("string")))))
+
+    won = F.coalesce("won", F.lit(False))
+    per = marked.groupBy("incident").agg(listed(F.lit(True)).alias("considered"), listed(won).alias("w"), listed(~won).alias("lost"))
+    return incidents.select("incident").join(per, "incident", "left").select("incident", *(F.coalesce(c, F.lit("")).alias(n) for n, c in (("considered", "considered"), ("won", "w"), ("lost", "lost"))))
+
+
+#: The rest of a line with the white space behind it; strings and braces of JSON.
+_LINE, _BRACES = re.compile(r"([^\r\n]*)\s*"), re.compile(r'"(?:[^"\\]|\\.)*"?|[{}]', re.S)
+
+
+def iri_pairs(text: str | None) -> list[dict[str, str]] | None:
+    """The pairs of a line with an IRI and the JSON object that follows it; a line that none follows is left out."""
+    if text is None:
+        return None
+    if len(text) > 1 and text[0] == text[-1] == '"':
+        text = text[1:-1]
+    out, at = [], 0
+    while at < len(text):
+        line = _LINE.match(text, at)
+        name, at = line.group(1).strip(" \t"), line.end()
+        if not name or text[at : at + 1] != "{":
+            continue
+        begin, depth, at = at, 0, len(text)
+        for token in _BRACES.finditer(text, begin):
+            depth += {"{": 1, "}": -1}.get(token.group(), 0)
+            if not depth:
+                at = token.end()
+                break
+        out.append({"iri": name, "payload": text[begin:at]})
+    return out
+
+
+def pair_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, nth, iri, payload) of texts in which IRIs and JSON objects alternate."""
+
+    def parted(column: pd.Series) -> pd.Series:
+        return column.map(iri_pairs)
+
+    taken = F.pandas_udf(parted, "array<struct<iri:string,payload:string>>")
+    return texts.select(key, F.posexplode(taken(F.col(text))).alias("nth", "x")).select(key, "nth", "x.*")
+
+
 PLAN_ROWS = "rows array<struct<step:int, g:string, k:string, i:int, t:string, v:string>>"
 
 
@@ -104,7 +162,7 @@ def rollup(runs: DataFrame) -> DataFrame:
 
 
 def path_scores(rows: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """(path, possible, score, rank) of requirement rows (path, token, value, exact) against a snapshot (token, now).
+    """(incident, path, possible, score, rank) of requirement rows (incident, path, token, value, exact) against a snapshot (token, now).
 
     A token that reads as required counts 6 (3 where it was only inferred) besides 2 (1) for being required at
     all; one that reads otherwise costs as much, and makes the path impossible.
@@ -114,6 +172,6 @@ def path_scores(rows: DataFrame, snapshot: DataFrame) -> DataFrame:
     weight = F.when(F.col("exact"), 6).otherwise(3)
     against = F.col("now").isNotNull() & (F.col("now") != F.col("value"))
     points = own + F.when(F.col("now").isNull(), 0).when(against, -weight - own).otherwise(weight)
-    per = seen.groupBy("path").agg(~F.bool_or(against), F.sum(points)).toDF("path", "possible", "score")
-    rank = F.row_number().over(Window.orderBy(F.desc("possible"), F.desc("score"), "path"))
+    per = seen.groupBy("incident", "path").agg(~F.bool_or(against), F.sum(points)).toDF("incident", "path", "possible", "score")
+    rank = F.row_number().over(Window.partitionBy("incident").orderBy(F.desc("possible"), F.desc("score"), "path"))
     return per.withColumn("rank", rank)

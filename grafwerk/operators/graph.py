@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from grafwerk.model import SUBCLASS, TYPE, as_set, iri, local_name
 
-#: A side of at most this many rows is broadcast; a larger one is left to the planner.
-BROADCAST_ROWS = 500_000
+#: A side of at most this many bytes is broadcast; a larger one is left to the planner.
+BROADCAST_BYTES = 8 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,7 +43,9 @@ def _folder(df: DataFrame) -> str:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """`df` with a broadcast hint if its counted `rows` take few bytes."""
+    wide = sum(8 if t in ("bigint", "int", "double", "boolean", "timestamp") else 96 for _, t in df.dtypes)
+    return F.broadcast(df) if rows * (16 + wide) <= BROADCAST_BYTES else df
 
 
 def match(graph: DataFrame, s: str | None = None, p: str | Sequence[str] | None = None, o: str | None = None, literal: bool = False) -> DataFrame:
@@ -81,30 +83,41 @@ def names(graph: DataFrame, preds: Sequence[str]) -> DataFrame:
     return best.select("s", F.coalesce("b.o", local_name(F.col("s"))).alias("name"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None, depth: int = 100, reflexive: bool = True) -> DataFrame:
-    """(src, dst) of all nodes that each seed reaches over `edges` (src, dst); cycles are fine.
+#: Steps of a closure that one round takes.
+STEPS = 4
 
-    Breadth-first: the frontier joins the edges and loses what was reached before. Each round is cut off in the
-    shared folder, so that neither plan nor lineage grows with the depth.
+
+def closure(edges: DataFrame, seeds: DataFrame | None = None, reflexive: bool = True) -> DataFrame:
+    """(src, dst) of all nodes that each seed reaches over `edges` (src, dst), however far; cycles are fine.
+
+    Breadth-first, `STEPS` steps a round: only what the last step of a round met newly goes on, and the search ends
+    when that is nothing. Each round is cut off in the shared folder, so that neither plan nor lineage grows.
     """
     edges = cut(edges.select("src", "dst").distinct())
+    hop = edges.withColumnsRenamed({"src": "mid", "dst": "next"})
     start = (edges.select("src") if seeds is None else seeds.select("src")).distinct()
     reached = cut(start.select("src", F.col("src").alias("dst")))
-    frontier, parts = reached, [reached]
-    for _ in range(depth):
-        step = frontier.join(edges.withColumnsRenamed({"src": "mid", "dst": "next"}), F.col("dst") == F.col("mid")).select("src", F.col("next").alias("dst")).distinct()
-        frontier = cut(step.join(reached, ["src", "dst"], "left_anti"))
+    frontier, parts = reached, 1
+    while True:
+        met = None
+        for k in range(1, STEPS + 1):
+            frontier = frontier.join(hop, F.col("dst") == F.col("mid")).select("src", F.col("next").alias("dst")).distinct()
+            step = frontier.withColumn("step", F.lit(k))
+            met = step if met is None else met.unionByName(step)
+        new = met.groupBy("src", "dst").agg(F.min("step").alias("step"))
+        new = cut(new.join(reached, ["src", "dst"], "left_anti"))
+        # Rounds are disjoint by construction, so that a plain union is the set of all.
+        reached = reached.unionByName(new.select("src", "dst"))
+        frontier = new.where(F.col("step") == STEPS).select("src", "dst")
         if frontier.isEmpty():
             break
-        parts.append(frontier)
-        # Rounds are disjoint by construction, so that a plain union is the set of all.
-        reached = reached.unionByName(frontier)
-        if len(parts) % 8 == 0:
+        parts += 1
+        if parts % 8 == 0:
             reached = cut(reached)
     if reflexive:
         return reached
     back = reached.where("src <> dst")
-    loops = reached.join(edges.withColumnsRenamed({"src": "mid", "dst": "next"}), F.col("dst") == F.col("mid")).where("src = next").select("src", F.col("src").alias("dst")).distinct()
+    loops = reached.join(hop, F.col("dst") == F.col("mid")).where("src = next").select("src", F.col("src").alias("dst")).distinct()
     return back.unionByName(loops)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grafwerk.operators.graph import cut, small
+
 WINDOW, OVERLAP, LEAST = 3200, 240, 80
 
 
@@ -25,22 +27,26 @@ def lexical_topk(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     holds it; the whole question as a phrase adds 6, a POU whose name holds a token 2.5. Of equal scores the one
     with more tokens in common is first, then the shorter, then the smaller id.
     """
-    asked = questions.select("question_id", "question", F.explode(F.array_distinct(tokens(F.col("question")))).alias("token"))
-    tf = term_frequency(chunks, "chunk_id", "text")
-    # Only chunks that share a token are candidates: an equi-join on tokens, not a product.
-    hits = asked.join(tf, "token").join(chunks.select("chunk_id", "kind", "name", "text"), "chunk_id")
-    named = F.contains(F.lower("name"), F.col("token"))
-    points = F.least(F.col("tf"), F.lit(5)) * F.when(named, 4.0).otherwise(1.0)
-    whole = F.contains(F.lower("text"), F.lower(F.trim("question")))
-    scored = hits.groupBy("question_id", "chunk_id").agg(
-        F.sum(points).alias("points"),
-        F.count("*").alias("overlap"),
-        F.max(F.when(whole, 6.0).otherwise(0.0)).alias("phrase"),
-        F.max(F.when((F.col("kind") == "POU") & named, 2.5).otherwise(0.0)).alias("pou"),
-        F.max(F.length("text")).alias("size"),
+    asked = cut(questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("token")))
+    few = small(asked, asked.count())
+    # Tokens that no question has go first; texts don't travel with the others.
+    lists = chunks.select("chunk_id", (F.col("kind") == "POU").alias("pou"), F.lower("name").alias("name"), F.length("text").alias("size"), F.explode(tokens(F.col("text"))).alias("token"))
+    tf = lists.join(small(asked.select("token").distinct(), asked.count()), "token", "left_semi").groupBy("chunk_id", "token").agg(F.count("*").alias("tf"), *(F.first(c).alias(c) for c in ("pou", "name", "size")))
+    named = F.contains("name", F.col("token"))
+    hits = tf.select("chunk_id", "token", "size", named.alias("named"), (F.col("pou") & named).alias("pou"), (F.least(F.col("tf"), F.lit(5)) * F.when(named, 4.0).otherwise(1.0)).alias("points"))
+    base = hits.join(few, "token").groupBy("question_id", "chunk_id").agg(
+        (F.sum("points") + F.max(F.when(F.col("pou"), 2.5).otherwise(0.0))).alias("base"), F.count("*").alias("overlap"), F.first("size").alias("size")
     )
-    total = scored.withColumn("score", F.col("points") + F.col("phrase") + F.col("pou"))
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("overlap"), "size", "chunk_id"))
+    # The phrase adds 6: only those that it could lift among the first k are looked at for it.
+    by = Window.partitionBy("question_id")
+    kth = F.min(F.when(F.col("place") == k, F.col("base"))).over(by)
+    near = base.withColumn("place", F.row_number().over(by.orderBy(F.desc("base")))).withColumn("kth", kth).where("kth IS NULL OR base + 6.0 >= kth")
+    near = cut(near.drop("place", "kth"))
+    phrases = questions.select("question_id", F.lower(F.trim("question")).alias("phrase"))
+    read = near.select("question_id", "chunk_id").join(phrases, "question_id").join(chunks.select("chunk_id", F.lower("text").alias("text")), "chunk_id")
+    whole = read.where(F.contains("text", F.col("phrase"))).select("question_id", "chunk_id", F.lit(6.0).alias("more"))
+    total = near.join(whole, ["question_id", "chunk_id"], "left").withColumn("score", F.col("base") + F.coalesce("more", F.lit(0.0)))
+    rank = F.row_number().over(by.orderBy(F.desc("score"), F.desc("overlap"), "size", "chunk_id"))
     return total.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "chunk_id", "score", "overlap", "rank")
 
 

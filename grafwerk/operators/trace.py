@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -27,11 +27,12 @@ class Unit:
     hardware: dict[str, str]
 
 
-def trace(pous: dict[str, Unit], pou: str, token: str, value: bool = True, depth: int = 12, assumed_false: frozenset[str] = frozenset()) -> list[tuple]:
+def trace(pous: dict[str, Unit], pou: str, token: str, value: bool = True, depth: int = 12, assumed_false: frozenset[str] = frozenset(), condition: bool = False) -> list[tuple]:
     """Requirement rows (path, depth, token, value, pou, kind, reason, source), depth first.
 
     An alternative of a condition adds `.i` to the path. A token that its own path has had before is a loop; a
-    token may come again on a sibling branch.
+    token may come again on a sibling branch. With `condition` the token is a whole expression of the POU. One with
+    too many alternatives ends in a row `stop`.
     """
     out: list[tuple] = []
 
@@ -39,7 +40,10 @@ def trace(pous: dict[str, Unit], pou: str, token: str, value: bool = True, depth
         out.append((path, d, t, v, p, kind, reason, source))
 
     def expression(text: str, v: bool, p: str, path: str, d: int, above: frozenset) -> None:
-        paths = stcode.truth_paths(text if v else f"NOT ({text})")
+        try:
+            paths = stcode.truth_paths(text if v else f"NOT ({text})")
+        except ValueError as e:
+            return add(path, d, text, v, p, "stop", str(e))
         for i, branch in enumerate(paths, 1):
             at = f"{path}.{i}" if len(paths) > 1 else path
             for t, need in branch:
@@ -96,7 +100,10 @@ def trace(pous: dict[str, Unit], pou: str, token: str, value: bool = True, depth
             return add(path, d, t, v, p, "internal_variable", unit.types[low])
         return add(path, d, t, v, p, "unknown", "no source")
 
-    follow(token, value, pou, "1", 0, frozenset())
+    if condition:
+        expression(token, value, pou, "1", 1, frozenset())
+    else:
+        follow(token, value, pou, "1", 0, frozenset())
     return out
 
 
@@ -121,7 +128,20 @@ def units(graph: DataFrame) -> DataFrame:
     return name.join(code, "s", "left").join(maps, "s", "left").select("pou", "code", "types", "defaults", "hardware")
 
 
-def requirement_rows(graph: DataFrame, incidents: DataFrame, depth: int = 12) -> DataFrame:
+def condition_rows(graph: DataFrame, incidents: DataFrame, depth: int = 12, assumed_false: Sequence[str] = ("d1", "d2", "d3")) -> DataFrame:
+    """Requirement rows of incidents (incident, pou, token, value) whose `token` is an expression of the POU.
+
+    States in `assumed_false` are taken as false and not followed.
+    """
+    return requirement_rows(graph, incidents, depth, assumed_false, condition=True)
+
+
+def unified_rows(graph: DataFrame, incidents: DataFrame, state: str = "D2", depth: int = 12) -> DataFrame:
+    """Requirement rows of what leads to a state in POUs (incident, pou): the guards of the last assignment that makes it true, and theirs."""
+    return requirement_rows(graph, incidents.select("incident", "pou", F.lit(state).alias("token"), F.lit(True).alias("value")), depth)
+
+
+def requirement_rows(graph: DataFrame, incidents: DataFrame, depth: int = 12, assumed_false: Sequence[str] = (), condition: bool = False) -> DataFrame:
     """Requirement rows of each incident (incident, pou, token, value).
 
     An incident is traced by one task. It sees the POUs of its own project only (all of them here: controller
@@ -129,11 +149,11 @@ def requirement_rows(graph: DataFrame, incidents: DataFrame, depth: int = 12) ->
     """
     known = [r.asDict(recursive=True) for r in units(graph).collect()]
     table = {r["pou"]: Unit(r["code"] or "", r["types"] or {}, r["defaults"] or {}, r["hardware"] or {}) for r in known}
-    shared = graph.sparkSession.sparkContext.broadcast(table)
+    shared, false = graph.sparkSession.sparkContext.broadcast(table), frozenset(x.lower() for x in assumed_false)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(r.incident, *x) for r in batch.itertuples() for x in trace(shared.value, r.pou, r.token, bool(r.value), depth)]
+            rows = [(r.incident, *x) for r in batch.itertuples() for x in trace(shared.value, r.pou, r.token, bool(r.value), depth, false, condition)]
             yield pd.DataFrame(rows, columns=["incident", *(c.split()[0] for c in ROW.split(", "))])
 
     kind = dict(incidents.dtypes)["incident"]

@@ -209,3 +209,58 @@ def append_csv(path: str):
         batch.write.mode("append").option("lineSep", "\r\n").csv(path, header=True)
 
     return write
+
+
+# --- commands and queues -----------------------------------------------------------------------------------
+
+
+def drain(events: DataFrame, queue: str, most: int) -> DataFrame:
+    """The events with `call`: which call of a queue's reader takes each, first in first out and `most` at a time."""
+    if most < 1:
+        raise ValueError("a call takes one event at least")
+    return events.withColumn("call", F.floor((F.row_number().over(_of(queue)) - 1) / most).cast("long"))
+
+
+def due_callbacks(calls: DataFrame, delay_ms: str, period_ms: int) -> DataFrame:
+    """The calls with `fired_ms`: the first poll, every `period_ms` from 0 on, at or after a call's time and delay."""
+    due = millis("ts") + F.greatest(F.col(delay_ms), F.lit(0))
+    return calls.withColumn("fired_ms", (F.ceil(due / F.lit(period_ms)) * F.lit(period_ms)).cast("long"))
+
+
+def pulse_commands(pulses: DataFrame, width_ms: str, preclear: Column) -> DataFrame:
+    """(event_id, step, at_ms, value): low first if asked for, high 20 ms after that, low again after the width (100 ms by default)."""
+    at = millis("ts")
+    clear = F.coalesce(preclear, F.lit(False))
+    high = at + F.when(clear, 20).otherwise(0)
+    width = F.when(F.col(width_ms) > 0, F.col(width_ms)).otherwise(F.lit(100))
+
+    def row(step: str, when: Column, value: bool) -> Column:
+        return F.struct(F.lit(step).alias("step"), when.cast("long").alias("at_ms"), F.lit(value).alias("value"))
+
+    steps = F.array(F.when(clear, row("preclear", at, False)), row("high", high, True), row("low", high + width, False))
+    return pulses.select("event_id", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("x")).select("event_id", "x.*")
+
+
+def parameters(events: DataFrame, key: str, kind: str, value: str, *, mode: str, monitoring: str, system: str, snapshot: str) -> DataFrame:
+    """(key, failure_mode, monitoring, system, snapshot): what a record of a failure is assembled from.
+
+    The last failure mode and snapshot, all monitoring reactions in their order, the first system reaction.
+    """
+    order = F.struct("ts", "event_id")
+
+    def of(k: str) -> Column:
+        return F.when(F.col(kind) == k, order)
+
+    listed = F.sort_array(F.collect_list(F.when(F.col(kind) == monitoring, F.struct("ts", "event_id", F.col(value).alias("v")))))
+    return events.groupBy(key).agg(
+        F.max_by(value, of(mode)).alias("failure_mode"),
+        F.transform(listed, lambda x: x["v"]).alias("monitoring"),
+        F.min_by(value, of(system)).alias("system"),
+        F.max_by(value, of(snapshot)).alias("snapshot"),
+    )
+
+
+def segments(events: DataFrame, key: str, kind: str, first: str, second: str) -> DataFrame:
+    """(key, event_id, segment_ms): for each mark of the second kind the time since the last one of the first before it."""
+    begun = F.last(F.when(F.col(kind) == first, F.col("ts")), ignorenulls=True).over(_of(key).rowsBetween(Window.unboundedPreceding, -1))
+    return events.withColumn("begun", begun).where((F.col(kind) == second) & F.col("begun").isNotNull()).select(key, "event_id", (millis("ts") - millis("begun")).alias("segment_ms"))

@@ -82,3 +82,50 @@ def test_block_diagram():
     assert stcode.state_branch([["D1"], ["F1"]], "D1") == 0
     with pytest.raises(ValueError, match="best"):
         stcode.state_branch([["F1"], ["F2"]])
+
+
+def test_names_are_one_in_any_case():
+    assert stcode.truth_paths("a AND NOT A") == []
+    assert stcode.truth_paths("a AND A AND b") == [[("a", True), ("b", True)]]
+    assert stcode.truth_paths("NOT (x XOR X)") == [[("x", True)], [("x", False)]]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_paths_equal_a_truth_table(seed):
+    """Every assignment makes a random expression true if and only if it fits one of its paths."""
+    import itertools
+    import random
+
+    r = random.Random(seed)
+    names = ["p", "q", "r", "s"]
+
+    def made(depth):
+        k = r.randrange(5) if depth else 0
+        if k == 0:
+            n = r.choice([*names, "TRUE", "FALSE"])
+            n = n.upper() if r.random() < 0.3 else n
+            return n, lambda v, n=n: v.get(n.lower(), n == "TRUE")
+        a, f = made(depth - 1)
+        if k == 1:
+            return f"NOT ({a})", lambda v: not f(v)
+        b, g = made(depth - 1)
+        word, of = (("AND", lambda x, y: x and y), ("OR", lambda x, y: x or y), ("XOR", lambda x, y: x != y))[k - 2]
+        return f"({a}) {word} ({b})", lambda v: of(f(v), g(v))
+
+    text, value = made(4)
+    paths = stcode.truth_paths(text)
+    for bits in itertools.product((False, True), repeat=4):
+        v = dict(zip(names, bits))
+        assert value(v) == any(all(v[t.lower()] == need for t, need in p) for p in paths), text
+
+
+def test_pairs_of_iris_and_objects():
+    from grafwerk.operators import decide
+
+    text = '"\n\n http://a \r\n  {"x": "} \\" {", "y": {"z": 1}}http://b\n{"k": 2}\nhttp://none\nhttp://c\n{"open": {"'
+    assert decide.iri_pairs(text) == [
+        {"iri": "http://a", "payload": '{"x": "} \\" {", "y": {"z": 1}}'},
+        {"iri": "http://b", "payload": '{"k": 2}'},
+        {"iri": "http://c", "payload": '{"open": {'},
+    ]
+    assert decide.iri_pairs(None) is None and decide.iri_pairs("") == []

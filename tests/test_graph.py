@@ -167,3 +167,19 @@ def test_scalar_functions(spark):
 
 def test_iri():
     assert iri("op:x") == f"{AG}op_x" and iri("plain") == "plain"
+
+
+def test_closure_has_no_bound_of_depth(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(130)] + [(130, 40)], "src long, dst long")
+    got = {r["dst"] for r in graph.closure(e, spark.createDataFrame([(0,)], "src long")).collect()}
+    assert got == set(range(131))
+    loops = graph.closure(e, spark.createDataFrame([(45,)], "src long"), reflexive=False).collect()
+    assert {r["dst"] for r in loops} == set(range(40, 131))
+
+
+def test_too_many_alternatives_are_told(spark):
+    from grafwerk.operators import trace
+
+    unit = trace.Unit("", {}, {}, {})
+    rows = trace.trace({"P": unit}, "P", " AND ".join(f"(a{i} OR b{i})" for i in range(14)), condition=True)
+    assert [r[5] for r in rows] == ["stop"]
