@@ -115,3 +115,13 @@ def test_cells_windows_and_homes_at_the_defaults():
             got[x, y] = z
     want = {(x, y): 1 - jaccard.distance(members[x], members[y]) for x in range(90) for y in range(x + 1, 90)}
     assert got == pytest.approx({k: v for k, v in want.items() if v >= jaccard.THRESHOLD})
+
+
+def test_chance_repeats_of_grams_bring_no_regions(spark):
+    """Where every gram of a document recurs, but each in another document, no sets are sent to regions."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in part) for _ in range(2) for part in rng.permutation(3_000).reshape(100, 30)]
+    df = spark.createDataFrame([*enumerate(texts), (900, texts[0] + " more words")], "doc_id long, text string")
+    members = [r["doc"] for r in jaccard._members(df, 1, 0.5, jaccard.LEAF).collect()]
+    assert {0, 900} <= {*members} and len(members) < 20
+    assert [(r["other_id"], r["doc_id"]) for r in jaccard.pairs(df, 1).collect()] == [(0, 900)]
