@@ -57,7 +57,7 @@ FROM numbered GROUP BY k, doc_id, nth
 """
 
 JACCARD = f"""
-WITH rows AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE rows AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 texts AS (
   SELECT text, row_number() OVER () AS k, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+') AS w
   FROM rows GROUP BY text),
@@ -69,10 +69,14 @@ shared AS (SELECT a.k AS a, b.k AS b, count(*) AS common FROM grams a JOIN grams
 near AS (
   SELECT a, b, common / CAST(x.n + y.n - common AS DOUBLE) AS jaccard
   FROM shared JOIN sizes x ON a = x.k JOIN sizes y ON b = y.k WHERE common >= {THRESHOLD} * (x.n + y.n - common) - 1e-9),
-docs AS (SELECT doc_id, k FROM rows JOIN texts USING (text))
-SELECT greatest(x.doc_id, y.doc_id) AS doc_id, least(x.doc_id, y.doc_id) AS other_id, jaccard
-FROM near JOIN docs x ON a = x.k JOIN docs y ON b = y.k
-WHERE CASE WHEN a = b THEN x.doc_id < y.doc_id ELSE x.doc_id <> y.doc_id END
+docs AS (SELECT doc_id, text, k FROM rows JOIN texts USING (text) WHERE len(w) > 0),
+held AS (SELECT k, count(*) AS n, min(doc_id) AS first FROM docs GROUP BY k),
+edges AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+links AS (SELECT a AS k, sum(n) - 1 AS links FROM edges JOIN held ON b = k GROUP BY a),
+reach AS (SELECT k, k AS j FROM held UNION SELECT reach.k, edges.b FROM reach JOIN edges ON reach.j = edges.a),
+classes AS (SELECT reach.k, min(first) AS class_id FROM reach JOIN held ON reach.j = held.k GROUP BY reach.k)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(links, 0) AS BIGINT) AS links
+FROM documents d LEFT JOIN docs USING (doc_id, text) LEFT JOIN links USING (k) LEFT JOIN classes USING (k)
 """
 
 

@@ -117,6 +117,37 @@ def test_cells_windows_and_homes_at_the_defaults():
     assert got == pytest.approx({k: v for k, v in want.items() if v >= jaccard.THRESHOLD})
 
 
+@pytest.mark.parametrize(("leaf", "few"), [(2000, 16), (3, 16), (2000, 1)])
+def test_classes_equal_brute_force(spark, monkeypatch, leaf, few):
+    """A row for each row, classes and numbers of links, also with copies, repeats and rows without words."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    rows = made(8)
+    rows += [(len(rows) + k, x) for k, (_, x) in enumerate(rows[::4] * 2)]
+    rows += [(900, None), (901, ""), (902, "!?"), (903, ""), (904, "one two"), (905, "One, two"), (906, "one two"), (None, rows[0][1])]
+    for repeats in ([], [(906, "one two"), (3, "one two"), (901, None)]):
+        every = rows + repeats
+        texts = sorted({r for r in every if None not in r})
+        near = brute(list(enumerate(x for _, x in texts)), 3, 0.5)
+        links = {k: sum(k in p for p in near) for k in range(len(texts))}
+        least = {k: i for k, (i, _) in enumerate(texts)}
+        for _ in texts:
+            for a, b in near:
+                least[a] = least[b] = min(least[a], least[b])
+        want = [(i, least[texts.index((i, x))], links[texts.index((i, x))]) if None not in (i, x) else (i, i, 0) for i, x in every]
+        df = spark.createDataFrame([(*r, 1, 2) for r in every], "doc_id long, text string, root int, links int")
+        got = [tuple(r) for r in jaccard.classes(df, leaf=leaf).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_rows_out_follow_the_input(spark):
+    """Copies aren't expanded into pairs: as many rows as documents."""
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(i, text) for i in range(400)] + [(400, text + " more"), (401, "else")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.classes(df).collect()}
+    assert got == {i: (0, 400) for i in range(401)} | {401: (401, 0)}
+    assert jaccard.classes(df.limit(0)).count() == 0
+
+
 def test_chance_repeats_of_grams_bring_no_regions(spark):
     """Where every gram of a document recurs, but each in another document, no sets are sent to regions."""
     rng = np.random.default_rng(3)
