@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grafwerk.llm import jaccard
@@ -156,3 +157,24 @@ def test_chance_repeats_of_grams_bring_no_regions(spark):
     members = [r["doc"] for r in jaccard._members(df, 1, 0.5, jaccard.LEAF).collect()]
     assert {0, 900} <= {*members} and len(members) < 20
     assert [(r["other_id"], r["doc_id"]) for r in jaccard.pairs(df, 1).collect()] == [(0, 900)]
+
+
+def test_postings_take_few_bytes():
+    """What is sent of each recurring gram, which may be nearly all grams of a large table."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 120)) for _ in range(600)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7_000_000_000, 7_000_000_600)), "text": texts})
+    blocks = pa.Table.from_batches(jaccard._blocks(2, 3)([batch])).sort_by("bucket")
+    sent = pa.Table.from_batches(jaccard._recurring(3)(blocks.to_batches())).to_pylist()
+    told = [r for r in sent if r["source"] >= 0]
+    assert sum(len(v) for r in told for v in r.values() if isinstance(v, bytes)) < 6 * sum(r["n"] for r in told)
+    # The documents of every rank are those that hold one gram.
+    got = {}
+    for r in told:
+        for d, x in zip((r["base"] + np.cumsum(jaccard._numbers(r["docs"], r["n"]))).tolist(), jaccard._numbers(r["x"], r["n"]).tolist()):
+            got.setdefault((r["source"], x), set()).add(d - 7_000_000_000)
+    want = {}
+    for k, x in enumerate(texts):
+        for g in grams(x, 2):
+            want.setdefault(g, set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
