@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafwerk.llm.common import slices, thin
+from grafwerk.llm.common import slices, strings, thin
 
 #: Default place of the ranks of a byte-level vocabulary, and its pattern of words.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -51,51 +51,58 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 def _earlier(values: np.ndarray, equal: bool) -> list[np.ndarray]:
     """For each place of the rows of `values`: how many places before it have a smaller value, and maybe an equal one."""
-    wide = values.shape[1]
-    word = np.dtype(f"u{max(1, wide // 8)}")
-    before = np.packbits(np.tri(wide, k=-1, dtype=bool), axis=1).view(word)[:, 0]
-    out = [np.empty(values.shape, np.uint8) for _ in range(1 + equal)]
-    step = max(1, (1 << 20) // (wide * wide))
-    for k in range(0, len(values), step):
-        here, there = values[k : k + step, :, None], values[k : k + step, None, :]
-        for told, hit in zip(out, (np.less, np.equal)):
-            told[k : k + step] = np.bitwise_count(np.packbits(hit(there, here), axis=2).view(word)[:, :, 0] & before)
+    m, wide = values.shape
+    out = [np.empty((m, wide), np.uint8) for _ in range(1 + equal)]
+    step = max(1, (1 << 17) // wide)
+    for k in range(0, m, step):
+        here = np.ascontiguousarray(values[k : k + step].T)  # so that a distance between places is one pass
+        hit = np.empty(here.shape, bool)
+        for told, test in zip(out, (np.less, np.equal)):
+            count = np.zeros(here.shape, np.uint8)
+            for far in range(1, wide):
+                test(here[:-far], here[far:], out=hit[far:])
+                count[far:] += hit[far:].view(np.uint8)
+            told[k : k + step] = count.T
     return out
 
 
-def _below(group: np.ndarray, rank: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For elements sorted by group and value: how many of smaller rank in the group stand before each.
+def _ranked(values: np.ndarray, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As `_earlier` for long rows, of which row k has size[k] values: how many values before each are smaller, and how many equal.
 
-    Groups come by falling bit length of their size, so that a level's elements are a prefix. Ranks are split bit
-    by bit from the top: at each level those with a 1 pass the 0s of their segment that stand before them.
+    Places and ranks are cut in stretches of 64. A table counts what lies in earlier stretches of both; pairs within
+    a stretch of either are compared.
     """
-    n = len(rank)
-    out = np.zeros(n, np.int32)
-    at = np.arange(n, dtype=np.int32)
-    first = np.empty(n, bool)
-    first[:1] = True
-    np.not_equal(group[1:], group[:-1], out=first[1:])
-    top = int(size[0] - 1).bit_length() if n else 0
-    live = np.searchsorted(-size, -(1 << np.arange(top + 1)), "left")  # elements in groups of more than 2**level
-    for level in range(top - 1, -1, -1):
-        k = int(live[level])
-        one = (rank[:k] >> level & 1).astype(bool)
-        zeros = np.zeros(k + 1, np.int32)
-        np.cumsum(~one, out=zeros[1:])
-        start = np.flatnonzero(first[:k])
-        span = np.diff(np.append(start, k))
-        head = np.repeat(start.astype(np.int32), span)
-        none = np.repeat(zeros[start + span] - zeros[start], span)
-        before = zeros[:k] - zeros[head]
-        here = at[:k]
-        out[here[one]] += before[one]
-        to = np.where(one, head + none + (np.arange(k, dtype=np.int32) - head - before), head + before)
-        moved, ranks = np.empty(k, np.int32), np.empty(k, np.int32)
-        moved[to], ranks[to] = here, rank[:k]
-        at[:k], rank[:k] = moved, ranks
-        cuts = head[start] + none[start]
-        first[cuts[cuts < k]] = True
-    return out
+    m, n = values.shape
+    parts = -(-n // 64)
+    wide = parts * 64
+    at = np.arange(wide, dtype=np.uint32)
+    key = np.full((m, wide), 1 << 29, np.uint32)  # behind all values
+    np.left_shift(values, 13, out=key[:, :n], dtype=np.uint32)
+    if size is not None:
+        key[at >= size[:, None]] = 1 << 29
+    key |= at
+    key.sort(axis=1)
+    turn = (key & 0x1FFF).astype(np.int32)
+    key >>= 13
+    first = np.zeros((m, wide), np.int32)
+    np.multiply(at[1:], key[:, 1:] != key[:, :-1], out=first[:, 1:], casting="unsafe")
+    np.maximum.accumulate(first, axis=1, out=first)
+    equal = at.astype(np.int32) - first
+    row = np.arange(m, dtype=np.int32)[:, None]
+    cell = (row * parts + (turn >> 6)) * parts + (at >> 6).astype(np.int32)
+    table = np.zeros((m, parts + 1, parts + 1), np.int32)
+    table[:, 1:, 1:] = np.bincount(cell.ravel(), minlength=m * parts * parts).reshape(m, parts, parts)
+    np.cumsum(table, axis=1, out=table)
+    np.cumsum(table, axis=2, out=table)
+    (less,) = _earlier((turn >> 6).astype(np.uint8).reshape(-1, 64), False)
+    place = row * wide + turn
+    out, same, rank = np.empty(m * wide, np.int32), np.empty(m * wide, np.int32), np.empty(m * wide, np.uint16)
+    # Equal values before one have smaller ranks; they are taken off again.
+    out[place] = table[:, :-1, :-1].reshape(-1)[cell] + less.reshape(m, wide) - equal
+    same[place], rank[place] = equal, at
+    (less,) = _earlier(rank.reshape(-1, 64), False)
+    out += less.ravel()
+    return out.reshape(m, wide)[:, :n], same.reshape(m, wide)[:, :n]
 
 
 def _history(ids: np.ndarray, context: np.ndarray, skip: int, equal: bool) -> list[np.ndarray]:
@@ -129,50 +136,18 @@ def _history(ids: np.ndarray, context: np.ndarray, skip: int, equal: bool) -> li
             for told, part in zip(out[1:], _earlier(value[np.minimum(at, len(key))], equal)):
                 told[where] = part[there]
         least = wide
-    these = np.flatnonzero(size > least)
-    if len(these):
-        these = these[np.argsort(-_bits(size[these] - 1), kind="stable")]
-        start, size = start[these], size[these]
-        ends = np.cumsum(size)
-        group = np.repeat(np.arange(len(size)), size)
-        at = start[group] + np.arange(ends[-1]) - (ends - size)[group]
-        key = np.sort(group << 32 | value[at].astype(np.int64) << 13 | at - start[group])
-        group, rank = key >> 32, (key & 0x1FFF).astype(np.int32)
-        where = place[start[group] + rank]
-        less = _below(group, rank, np.int32(1) << _bits(size - 1)[group])
-        run = np.flatnonzero(np.append(True, key[1:] >> 13 != key[:-1] >> 13))
-        same = np.arange(len(key)) - np.repeat(run, np.diff(np.append(run, len(key))))
-        for told, part in zip(out[1:], (less - same, same)):
-            told[where] = part
+    while least < n:
+        wide, these = least * 2, (size > least) & (size <= least * 2)
+        if these.any():
+            at = start[these][:, None] + np.arange(wide, dtype=np.int32)
+            there = np.arange(wide) < size[these][:, None]
+            where = place[at[there]]
+            for told, part in zip(out[1:], _ranked(value[np.minimum(at, len(key))], size[these])):
+                told[where] = part[there]
+        least = wide
     return out
 
 
-def _order0(ids: np.ndarray) -> np.ndarray:
-    """How many ids before each in its block are smaller: up to its stretch of 64, and in that."""
-    m, n = ids.shape
-    key = np.sort((np.arange(m, dtype=np.uint64)[:, None] << np.uint64(36) | ids.astype(np.uint64) << np.uint64(16) | np.arange(n, dtype=np.uint64)).ravel())
-    t = (key & np.uint64(0xFFFF)).astype(np.int32)
-    block = (key >> np.uint64(36)).astype(np.int32)
-    place = block * np.int32(n) + t
-    key >>= np.uint64(16)
-    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])).astype(np.int32)
-    start = np.repeat(new, np.diff(np.append(new, np.int32(len(key)))))
-    below = np.zeros(m * n, np.int32)
-    step = (t >> 6).astype(np.uint8)
-    turn = np.argsort(step, kind="stable")
-    ends = np.cumsum(np.bincount(step))
-    seen = np.zeros(len(key) + 1, np.int32)
-    for k in range(1, len(ends)):
-        np.cumsum(step < k, out=seen[1:])
-        now = turn[ends[k - 1] : ends[k]]
-        below[place[now]] = seen[start[now]] - block[now] * (k << 6)  # every block before has so many ids that early
-    wide = -(-n // 64) * 64
-    padded = np.zeros((m, wide), np.uint16)
-    padded[:, :n] = ids
-    (less,) = _earlier(padded.reshape(-1, 64), False)
-    return below + less.reshape(m, wide)[:, :n].ravel()
-
-
 def _standing(kind: np.ndarray, asked: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How often a context of the same kind was asked before in the block (a column), and how often it knew the id."""
     n, m = kind.shape
@@ -199,7 +174,7 @@ def _seen(ids: np.ndarray) -> list[np.ndarray]:
     # What the next id's context has counted is how often this context and id came before.
     own1, own0 = all2[:, 1:].copy(), all1[:, 1:]
     own1[:, 0] = 0
-    return [x[:, :n] for x in (all2, less2, own2, all1, less1, own1, _order0(ids).reshape(m, n), own0)]
+    return [x[:, :n] for x in (all2, less2, own2, all1, less1, own1, _ranked(ids)[0], own0)]
 
 
 def _shares(ids: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
@@ -400,17 +375,28 @@ def _written(path: str, length: int):
         # A task that runs again numbers its chunks alike.
         task = TaskContext.get()
         chunk = (task.partitionId() if task else 0) << 32
-        for part in slices(batches, "text", CHUNK):
-            texts = part.column("text").to_pylist()
-            lists = [tok.encode_ordinary(t) if t else [] for t in texts]
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            at = np.concatenate([[0], np.cumsum(size)])
-            flat = np.fromiter(chain.from_iterable(lists), np.int32, int(at[-1]))
-            del lists
-            docs = [(i, -1 if t is None else n) for i, t, n in zip(part.column("doc_id").to_pylist(), texts, size.tolist())]
-            del texts
-            yield pack(chunk, docs, flat, at, wide)
-            chunk += 1
+        docs: list[tuple] = []
+        flat = array("i")
+        at, held = [0], 0
+
+        def packed() -> pa.RecordBatch:
+            return pack(chunk, docs, np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.array(at, np.int64), wide)
+
+        # Batches end anywhere: what is left of one is coded with the next, as every chunk takes as many steps as a full one.
+        for part in slices(batches, "text", max(1, CHUNK // 16)):
+            size = int(strings(part.column("text"))[1][-1])
+            if docs and held + size > CHUNK:
+                yield packed()
+                docs, flat, at, held = [], array("i"), [0], 0
+                chunk += 1
+            for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                ids = tok.encode_ordinary(t) if t else []
+                flat.extend(array("i", ids))
+                docs.append((i, -1 if t is None else len(ids)))
+                at.append(len(flat))
+            held += size
+        if docs:
+            yield packed()
 
     return run
 
