@@ -6,8 +6,8 @@ followed the same id, order 0 all. After every id all of them know it. An id's p
 its shares in the three; the weights follow, by how much a context has seen, how often its model knew the id that
 came. The sum's part of the range drives a 64-bit range coder.
 
-The encoder knows all ids beforehand: what a context had counted before each id comes from sorts and a radix
-descent over ranks, and many blocks step through weights, order-0 counts and coder side by side.
+The encoder knows all ids beforehand: what a context had counted before each id comes from sorts and tables
+over ranks, and many blocks step through weights and coder side by side.
 
 Defined cases: a null text is noted with a total of -1 and an empty one with 0, both without ids; a text of any
 length runs on through as many blocks as it takes. Rows that repeat, also in doc_id alone, are told apart by their
