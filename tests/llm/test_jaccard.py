@@ -178,3 +178,40 @@ def test_postings_take_few_bytes():
         for g in grams(x, 2):
             want.setdefault(g, set()).add(k)
     assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_large_groups_of_near_copies_are_sent_few_times(spark, groups):
+    """Near copies are all in each other's windows, so that no split by pivots parts them; blocks do, and ties need few."""
+    r = random.Random(7)
+    bases = [[f"b{g}x{k}" for k in range(60)] for g in range(groups)]
+    rows = [(i, " ".join(["all of these", *(x if r.random() > 0.05 else f"z{r.randint(0, 10**9)}" for x in bases[i % groups])])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = jaccard._members(df, 3, 0.5, jaccard.LEAF).count()
+    # 120 documents are 12 blocks at most, each of which meets 12.
+    assert jaccard._members(df, 3, 0.5, 20).count() <= 12 * whole
+    assert jaccard._members(df, 3, 0.5, 20, ties=[]).count() <= whole
+    near = brute(rows, 3, 0.5)
+    linked = {(r["other_id"], r["doc_id"]) for r in jaccard.pairs(df, leaf=20).collect()}
+    assert linked == near.keys()
+    root = list(range(120))
+    for _ in rows:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r["doc_id"] for r in jaccard.dedup(df, leaf=20).collect()} == {i for i in root if root[i] == i}
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.classes(df, leaf=20).collect()}
+    assert got == {i: (root[i], sum(i in p for p in near)) for i in range(120)}
+
+
+@pytest.mark.parametrize("leaf", [2, 5])
+def test_one_of_each_group_stays_of_parted_regions(spark, monkeypatch, leaf):
+    """Classes are the same where ties to few pivots and blocks of the others stand for all pairs."""
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    rows = made(9, copies=16)
+    root = list(range(len(rows)))
+    near = brute(rows, 3, 0.5)
+    for _ in rows:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in jaccard.dedup(df, leaf=leaf).collect()} == {i for i in range(len(rows)) if root[i] == i}
