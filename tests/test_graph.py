@@ -183,3 +183,50 @@ def test_too_many_alternatives_are_told(spark):
     unit = trace.Unit("", {}, {}, {})
     rows = trace.trace({"P": unit}, "P", " AND ".join(f"(a{i} OR b{i})" for i in range(14)), condition=True)
     assert [r[5] for r in rows] == ["stop"]
+
+
+@pytest.mark.parametrize("fit", [True, False])
+@pytest.mark.parametrize("text_nodes", [True, False])
+def test_closure_of_strong_components_in_either_way(spark, monkeypatch, fit, text_nodes):
+    import random
+
+    rng = random.Random(5)
+    # A large component with nodes before and after it, a lesser ring apart, a loop, and a seed without edges.
+    e = {(i, (i + 1) % 30) for i in range(30)} | {(rng.randrange(30), rng.randrange(30)) for _ in range(20)}
+    e |= {(40, 41), (41, 3), (42, 41), (7, 50), (50, 51), (60, 61), (61, 60), (51, 52), (70, 70), (61, 50)}
+    seeds = [0, 40, 42, 60, 50, 70, 99]
+    want, proper = set(), set()
+    for s in seeds:
+        seen, ahead = set(), {s}
+        while ahead:
+            ahead = {b for a, b in e if a in ahead} - seen
+            seen |= ahead
+        proper |= {(s, d) for d in seen}
+        want |= {(s, d) for d in seen | {s}}
+    cast = (lambda v: f"n{v}") if text_nodes else int
+    kind = "string" if text_nodes else "long"
+    edges = spark.createDataFrame([(cast(a), cast(b)) for a, b in sorted(e)] + [(None, cast(1))], f"src {kind}, dst {kind}")
+    start = spark.createDataFrame([(cast(s),) for s in seeds] * 2, f"src {kind}")
+    if not fit:
+        monkeypatch.setattr(graph, "EDGE_BYTES", 0)
+    for reflexive, pairs in ((True, want), (False, proper)):
+        got = [(r["src"], r["dst"]) for r in graph.closure(edges, start, reflexive).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(cast(a), cast(b)) for a, b in pairs}
+
+
+def test_closure_neither_shuffles_nor_stores_its_pairs(spark, monkeypatch):
+    stored = []
+    real = graph.cut
+
+    def counted(df):
+        out = real(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    e = spark.range(300).selectExpr("id AS src", "(id + 1) % 300 AS dst").unionByName(spark.range(300).selectExpr("id AS src", "id * 7 % 300 AS dst"))
+    for most in (graph.EDGE_BYTES, 0):
+        monkeypatch.setattr(graph, "EDGE_BYTES", most)
+        stored.clear()
+        assert graph.closure(e).count() == 300 * 300
+        assert max(stored) <= 600
