@@ -8,6 +8,7 @@ LIMIT and OFFSET. Anything else is refused. Solutions are bags of strings: dupli
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -370,9 +371,11 @@ def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataF
 
 def _group(graph: DataFrame, items: list, start: DataFrame | None = None) -> DataFrame:
     out = start
-    filters = []
+    filters = [i[1] for i in items if i[0] == "filter"]
+    # What is known before the optional parts, and whether a constant or a filter made it few.
+    base, few, met = start, start is not None, {}
     # Patterns that share a variable with what is there come first, so that no product is built on the way.
-    todo = list(items)
+    todo = [i for i in items if i[0] != "filter"]
     while todo:
         k = 0
         if todo[0][0] == "triple" and out is not None:
@@ -387,19 +390,21 @@ def _group(graph: DataFrame, items: list, start: DataFrame | None = None) -> Dat
         kind = item[0]
         if kind == "triple":
             out = _join(out, _scan(graph, *item[1:]))
+            few = few or item[1][0] != "var" or (item[3][0] != "var" and item[2] != ("iri", TYPE))
         elif kind == "optional":
-            out = _optional(graph, out, item[1])
+            out = _optional(graph, out, item[1], lambda shared, base=base, few=few: _near(base, shared, filters, few, met))
+            continue
         elif kind == "union":
             branches = [_group(graph, b) for b in item[1]]
             out = _join(out, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches))
         elif kind == "values":
             rows = graph.sparkSession.createDataFrame(item[2], ", ".join(f"`{n}` string" for n in item[1]))
             out = _join(out, rows)
+            few = True
         elif kind == "bind":
-            base = out if out is not None else graph.sparkSession.range(1).select()
-            out = base.withColumn(item[2], _column(item[1], set(base.columns)).cast("string"))
-        else:
-            filters.append(item[1])
+            unbound = out if out is not None else graph.sparkSession.range(1).select()
+            out = unbound.withColumn(item[2], _column(item[1], set(unbound.columns)).cast("string"))
+        base, met = out, {}
     if out is None:
         raise SparqlError("an empty group")
     for f in filters:
@@ -407,14 +412,51 @@ def _group(graph: DataFrame, items: list, start: DataFrame | None = None) -> Dat
     return out
 
 
-def _optional(graph: DataFrame, left: DataFrame | None, items: list) -> DataFrame:
-    """A left join. Filters of the optional part may look at variables of the other side: they are join conditions."""
+def _variables(e) -> set[str]:
+    """The variables of an expression."""
+    if e[0] == "term":
+        return {e[1][1]} if e[1][0] == "var" else set()
+    return set().union(*(_variables(x) for x in (e[2] if e[0] == "call" else e[1:])))
+
+
+#: Rows whose values are told to a scan as constants.
+FEW = 1000
+
+
+def _near(base: DataFrame | None, shared: list[str], filters: list, few: bool, met: dict) -> list | DataFrame | None:
+    """The rows of `base` that an optional part can meet: their values, if few; None if nothing bounds them."""
+    if not shared or base is None or not set(shared) <= set(base.columns):
+        return None
+    early = [f for f in filters if _variables(f) <= set(base.columns)]
+    if not few and not early:
+        return None
+    if tuple(shared) not in met:
+        for f in early:
+            base = base.where(_column(f, set(base.columns)))
+        rows = base.select(*shared).distinct()
+        some = rows.limit(FEW + 1).collect()
+        met[tuple(shared)] = some if len(some) <= FEW else rows
+    return met[tuple(shared)]
+
+
+def _optional(graph: DataFrame, left: DataFrame | None, items: list, near: Callable[[list[str]], list | DataFrame | None]) -> DataFrame:
+    """A left join. Filters of the optional part may look at variables of the other side: they are join conditions.
+
+    Where constants or the group's filters leave few rows on the left, only what shares their values is joined: a
+    filter by constants reaches the tables below a relation, which would be built in full for a single row else.
+    """
     inner = [i for i in items if i[0] != "filter"]
     right = _group(graph, inner)
     if left is None:
         return right
     shared = [c for c in left.columns if c in right.columns]
     new = [c for c in right.columns if c not in shared]
+    rows = near(shared)
+    if isinstance(rows, list):
+        for k, c in enumerate(shared):
+            right = right.where(F.col(c).isin([v for v in {r[k] for r in rows} if v is not None]))
+    elif rows is not None:
+        right = right.join(rows, shared, "left_semi")
     renamed = right.withColumnsRenamed({c: f"__{c}" for c in shared})
     on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in shared], F.lit(True))
     for f in (i[1] for i in items if i[0] == "filter"):

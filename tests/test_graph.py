@@ -232,6 +232,19 @@ def test_closure_neither_shuffles_nor_stores_its_pairs(spark, monkeypatch):
         assert max(stored) <= 600
 
 
+def test_optional_part_of_one_row_is_not_built_in_full(spark):
+    left = triples(spark, [(f"ag:V{k}", "dp:hasVariableName", f'"v{k}"') for k in range(3)])
+    n = 20_000
+    # A relation of tables: a filter on its key reaches the table, so that no other row is joined.
+    keys = spark.range(n).selectExpr(f"'{AG}P' AS s", f"concat('{AG}V', cast(id AS string)) AS o").where("o IS NOT NULL")
+    uses = keys.selectExpr("s", f"'{iri('op:usesVariable')}' AS p", "o", "'iri' AS o_kind", "cast(null AS string) AS o_dtype", "cast(null AS string) AS o_lang")
+    q = 'SELECT ?n ?u WHERE { ?v dp:hasVariableName ?n . OPTIONAL { ?u op:usesVariable ?v } FILTER(?n = "v1") }'
+    out = sparql.select(left.unionByName(uses), q)
+    assert [tuple(r) for r in out.collect()] == [("v1", iri("ag:P"))]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert f"= {AG}V1" in plan or f"IN ({AG}V1)" in plan
+
+
 def _groups(spark):
     """A plant, and variables that its POUs use in groups: as products and as triples."""
     rows = [(f"ag:P{k}", "dp:hasPOUName", f'"P{k}"') for k in range(4)]
