@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from bisect import insort
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafwerk.operators.graph import cut, small
+from grafwerk.operators.graph import BROADCAST_BYTES, cut, small
 
 WINDOW, OVERLAP, LEAST = 3200, 240, 80
 
@@ -25,13 +31,83 @@ def lexical_topk(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
     A token of the question scores its frequency in the chunk, 5 at most, four times that if the chunk's name
     holds it; the whole question as a phrase adds 6, a POU whose name holds a token 2.5. Of equal scores the one
-    with more tokens in common is first, then the shorter, then the smaller id.
+    with more tokens in common is first, then the shorter, then the smaller id. Chunks without an id aren't found.
+
+    Few questions go to the chunks as a whole: each task sends its `k` best of every question and nothing else.
+    Chunks whose id repeats count as one, and for those, or for many questions, tokens are joined and shuffled.
     """
+    chunks = chunks.where("chunk_id IS NOT NULL")
     asked = cut(questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("token")))
-    few = small(asked, asked.count())
+    n = asked.count()
+    if n * 200 <= BROADCAST_BYTES:
+        repeated = cut(chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id"))
+        again = repeated.count()
+        best = _best_of_tasks(chunks if again == 0 else chunks.join(small(repeated, again), "chunk_id", "left_anti"), questions, asked, k)
+        if again:
+            best = best.unionByName(_joined(chunks.join(small(repeated, again), "chunk_id", "left_semi"), questions, asked, n, k))
+    else:
+        best = _joined(chunks, questions, asked, n, k)
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("overlap"), "size", "chunk_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "chunk_id", "score", "overlap", "rank")
+
+
+def _best_of_tasks(chunks: DataFrame, questions: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(question_id, chunk_id, score, overlap, size): of each task the `k` best chunks of every question."""
+    ids: dict = {}
+    askers: dict[str, list[int]] = {}
+    for r in asked.collect():
+        askers.setdefault(r["token"], []).append(ids.setdefault(r["question_id"], len(ids)))
+    phrases: list[list[str]] = [[] for _ in ids]
+    for r in questions.select("question_id", F.lower(F.trim("question")).alias("phrase")).where("phrase IS NOT NULL").collect():
+        if r["question_id"] in ids:
+            phrases[ids[r["question_id"]]].append(r["phrase"])
+    kinds = dict(questions.dtypes)["question_id"], dict(chunks.dtypes)["chunk_id"]
+    shape = f"question_id {kinds[0]}, chunk_id {kinds[1]}, score double, overlap bigint, size int"
+
+    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(r"[a-z0-9_]{2,}")
+        top: list[list[tuple]] = [[] for _ in ids]
+        for batch in batches:
+            for ident, pou, name, size, text in zip(*(c.to_pylist() for c in batch.columns)):
+                points = [0.0] * len(ids)
+                overlap = [0] * len(ids)
+                more = [0.0] * len(ids)
+                for token, tf in Counter(t for t in word.findall(text) if t in askers).items():
+                    named = name is not None and token in name
+                    gain = min(tf, 5) * (4.0 if named else 1.0)
+                    for q in askers[token]:
+                        points[q] += gain
+                        overlap[q] += 1
+                        if named and pou:
+                            more[q] = 2.5
+                for q, common in enumerate(overlap):
+                    if not common:
+                        continue
+                    score, kept = points[q] + more[q], top[q]
+                    if len(kept) >= k and score + 6.0 < -kept[-1][0]:
+                        continue
+                    if any(phrase in text for phrase in phrases[q]):
+                        score += 6.0
+                    row = (-score, -common, size, ident)
+                    if len(kept) < k or row < kept[-1]:
+                        insort(kept, row)
+                        del kept[k:]
+        rows = [(q, r[3], -r[0], -r[1], r[2]) for q, kept in zip(ids, top) for r in kept]
+        cols = list(zip(*rows)) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, out)], names)
+
+    texts = chunks.select("chunk_id", (F.col("kind") == "POU").alias("pou"), F.lower("name").alias("name"), F.length("text").alias("size"), F.lower("text").alias("text")).where("text IS NOT NULL")
+    empty = chunks.sparkSession.createDataFrame([], shape).toArrow().schema
+    out, names = empty.types, empty.names
+    return texts.mapInArrow(best, shape)
+
+
+def _joined(chunks: DataFrame, questions: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
+    """(question_id, chunk_id, score, overlap, size) of all chunks that may be among the `k` best, by joins."""
+    few = small(asked, n)
     # Tokens that no question has go first; texts don't travel with the others.
     lists = chunks.select("chunk_id", (F.col("kind") == "POU").alias("pou"), F.lower("name").alias("name"), F.length("text").alias("size"), F.explode(tokens(F.col("text"))).alias("token"))
-    tf = lists.join(small(asked.select("token").distinct(), asked.count()), "token", "left_semi").groupBy("chunk_id", "token").agg(F.count("*").alias("tf"), *(F.first(c).alias(c) for c in ("pou", "name", "size")))
+    tf = lists.join(small(asked.select("token").distinct(), n), "token", "left_semi").groupBy("chunk_id", "token").agg(F.count("*").alias("tf"), *(F.first(c).alias(c) for c in ("pou", "name", "size")))
     named = F.contains("name", F.col("token"))
     hits = tf.select("chunk_id", "token", "size", named.alias("named"), (F.col("pou") & named).alias("pou"), (F.least(F.col("tf"), F.lit(5)) * F.when(named, 4.0).otherwise(1.0)).alias("points"))
     base = hits.join(few, "token").groupBy("question_id", "chunk_id").agg(
@@ -46,8 +122,7 @@ def lexical_topk(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     read = near.select("question_id", "chunk_id").join(phrases, "question_id").join(chunks.select("chunk_id", F.lower("text").alias("text")), "chunk_id")
     whole = read.where(F.contains("text", F.col("phrase"))).select("question_id", "chunk_id", F.lit(6.0).alias("more"))
     total = near.join(whole, ["question_id", "chunk_id"], "left").withColumn("score", F.col("base") + F.coalesce("more", F.lit(0.0)))
-    rank = F.row_number().over(by.orderBy(F.desc("score"), F.desc("overlap"), "size", "chunk_id"))
-    return total.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "chunk_id", "score", "overlap", "rank")
+    return total.select("question_id", "chunk_id", "score", "overlap", "size")
 
 
 def squared_distance(a: Column | str, b: Column | str) -> Column:

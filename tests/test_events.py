@@ -92,3 +92,19 @@ def test_winners_and_scores(spark):
     rows = spark.createDataFrame([(1, "p", "x", True, True), (1, "q", "x", False, True), (1, "r", "y", True, False)], "incident int, path string, token string, value boolean, exact boolean")
     now = spark.createDataFrame([("x", True)], "token string, now boolean")
     assert [(r["path"], r["possible"], r["score"]) for r in decide.path_scores(rows, now).orderBy("rank").collect()] == [("p", True, 8), ("r", True, 1), ("q", False, -6)]
+
+
+def test_lexical_topk_sends_only_the_best(spark, monkeypatch):
+    rows = [(k, "POU" if k % 2 else "GVL", f"n{k % 5} alarm" if k % 7 == 0 else None if k == 4 else f"n{k}", f"motor start {'alarm ' * (k % 9)} x{k}" if k != 3 else None) for k in range(200)]
+    rows += [(7, "POU", "n2 alarm", "motor alarm alarm"), (None, "POU", "motor", "motor start alarm")]
+    c = spark.createDataFrame(rows, "chunk_id long, kind string, name string, text string").repartition(3)
+    q = spark.createDataFrame([(1, "motor start alarm"), (2, "ALARM"), (3, "nothing"), (4, None)], "question_id int, question string")
+    found = search.lexical_topk(c, q, 4)
+    got = sorted(tuple(r) for r in found.collect() if r["chunk_id"] != 7)
+    monkeypatch.setattr(search, "BROADCAST_BYTES", -1)
+    want = sorted(tuple(r) for r in search.lexical_topk(c, q, 4).collect() if r["chunk_id"] != 7)
+    assert got == want and {r[0] for r in got} == {1, 2}
+    monkeypatch.undo()
+    once = search.lexical_topk(c.where("chunk_id <> 7"), q, 4)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "token" not in plan and "hashpartitioning(chunk_id" not in plan
