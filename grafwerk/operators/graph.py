@@ -240,15 +240,25 @@ def _product(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.repartition(tasks).crossJoin(small(right, m)).select("src", "dst")
 
 
+#: Triples that one task of an inference takes.
+TRIPLES_EACH = 100_000
+
+
 def infer_types(graph: DataFrame, subclasses: DataFrame | None = None) -> DataFrame:
-    """The graph with the types that follow from its subclass edges and the given (src, dst) ones."""
+    """The graph with the types that follow from its subclass edges and the given (src, dst) ones.
+
+    Triples are parted by subject, so many as a task can hold the types of, and gain types where they then are.
+    """
     edges = match(graph, p=SUBCLASS).select(F.col("s").alias("src"), F.col("o").alias("dst"))
     if subclasses is not None:
         edges = edges.unionByName(subclasses.select("src", "dst"))
-    supers = closure(edges)
-    types = match(graph, p=TYPE)
-    wider = types.join(supers, types["o"] == supers["src"]).select("s", "p", F.col("dst").alias("o"), "o_kind", "o_dtype", "o_lang")
-    return as_set(graph.unionByName(wider))
+    supers = cut(closure(edges))
+    wider = supers.groupBy(F.col("src").alias("cls")).agg(F.collect_list("dst").alias("wider"))
+    parted = graph.repartition(max(1, -(-graph.count() // TRIPLES_EACH)), "s")
+    both = parted.join(small(wider, supers.count()), (F.col("p") == TYPE) & (F.col("o") == F.col("cls")), "left")
+    own = F.array("o")
+    each = F.explode(F.when(F.col("wider").isNull(), own).otherwise(F.concat(own, "wider"))).alias("o")
+    return as_set(both.select("s", "p", each, "o_kind", "o_dtype", "o_lang"))
 
 
 def schema_card(graph: DataFrame, top: int = 15, products: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:

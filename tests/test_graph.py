@@ -273,3 +273,16 @@ def test_schema_card_counts_products(spark):
     want = [tuple(r) for r in graph.schema_card(whole).collect()]
     assert ("predicate", iri("op:usesVariable"), 2 + 3 + 3 + 2) in want
     assert [tuple(r) for r in graph.schema_card(g, products={"op:usesVariable": products}).collect()] == want
+
+
+def test_types_are_inferred_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TRIPLES_EACH", 50)
+    rows = [(f"ag:x{k}", "rdf:type", f"ag:C{k % 2}") for k in range(200)] * 2 + [("ag:x0", "rdf:type", "ag:C1"), ("ag:x1", "dp:hasName", '"n"')]
+    rows += [("ag:C0", "rdfs:subClassOf", "ag:B"), ("ag:C1", "rdfs:subClassOf", "ag:B"), ("ag:B", "rdfs:subClassOf", "ag:A")]
+    out = graph.infer_types(triples(spark, rows))
+    got = [(r["s"], r["p"], r["o"]) for r in out.collect()]
+    want = {(iri(s), iri(p), o[1:-1] if o[0] == '"' else iri(o)) for s, p, o in rows}
+    want |= {(s, p, iri(c)) for s, p, _ in want if p == iri("rdf:type") for c in ("ag:A", "ag:B")}
+    assert sorted(got) == sorted(want)
+    # A part of 50 triples each, of 406, in which duplicates go without another exchange.
+    assert out.rdd.getNumPartitions() == 9
