@@ -215,3 +215,25 @@ def test_one_of_each_group_stays_of_parted_regions(spark, monkeypatch, leaf):
             root[a] = root[b] = min(root[a], root[b])
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in jaccard.dedup(df, leaf=leaf).collect()} == {i for i in range(len(rows)) if root[i] == i}
+
+
+def test_a_region_of_near_copies_lists_what_they_lack():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+    members = []
+    for _ in range(120):
+        copy = base.copy()
+        copy[rng.integers(0, 200, 8)] = rng.integers(0, 1 << 60, 8)
+        members.append(np.unique(copy))
+    members += [np.unique(rng.integers(0, 1 << 60, 5).astype(np.uint64)) for _ in range(9)] + [np.zeros(0, np.uint64), base[:90].copy()]
+    members[-1].sort()
+    region = jaccard.Region(members)
+    for i in range(len(members)):
+        want = np.array([len(np.intersect1d(members[i], x)) for x in members])
+        assert (region.overlaps(i) == want).all()
+        assert (region.overlaps(i, later=True) == np.where(np.arange(len(members)) > i, want, 0)).all()
+    # Not the 24,000 places of the grams themselves.
+    assert len(region.owner) < 6_000
+    want = {(i, j) for i in range(len(members)) for j in range(i) if jaccard.distance(members[i], members[j]) <= 0.5}
+    got = [(int(b), int(a)) for i, j, _ in jaccard.within(members, 0.5) for a, b in zip(i, j)]
+    assert len(got) == len(set(got)) and {p for p in got if len(members[p[0]]) and len(members[p[1]])} == {p for p in want if len(members[p[0]]) and len(members[p[1]])}
